@@ -324,15 +324,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) * 2 + 1, *map(np.multiply.accumulate, raised)
 
 
+def slice_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice's bytes, the same wherever the slice stands; slices cover ``data``."""
+    value, up, down = _powers(1 << max(20, int(len(data)).bit_length()))
+    size = np.diff(np.append(starts, len(data)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
+    return (total[starts + size] - total[starts]) * down[starts] * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+
+
 def distinct_slices(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of one slice of each content, number of the content of every slice); slices cover ``data``.
 
     Contents meet by hash and are then compared byte by byte.
     """
-    value, up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    n, size = len(data), np.diff(np.append(starts, len(data)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[:n], dtype=np.uint64)])
-    key = (total[starts + size] - total[starts]) * down[starts] * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+    n, size, key = len(data), np.diff(np.append(starts, len(data))), slice_keys(data, starts)
     bits = max(8, int(len(key)).bit_length())
     slots, twin, rest, odd = np.empty(1 << bits, np.int64), np.empty(len(key), np.int64), np.arange(len(key)), 0x9E3779B97F4A7C15
     while len(rest):  # one slice of each slot speaks for its content; others of that slot try again elsewhere

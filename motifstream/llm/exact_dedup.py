@@ -40,6 +40,12 @@ def repeated_bits(rows: DataFrame, key: Column, bits: int) -> DataFrame:
     return once.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bitmap"))
 
 
+def bits_of(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """(__bucket, __bitmap) of the hash positions of all keys."""
+    once = keys.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p")).distinct()
+    return once.groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bitmap"))
+
+
 def only_repeated(rows: DataFrame, key: Column, bitmaps: DataFrame, bits: int, flag: str) -> DataFrame:
     """Add boolean ``flag``: whether the key's bit is set. The bitmaps are of bounded size and broadcast."""
     rows = rows.withColumn("__p", F.pmod(F.xxhash64(key), F.lit(bits)))

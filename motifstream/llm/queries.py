@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, pii, sharding, tiff, toxicity
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,20 +26,67 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("content_hash").alias("text_sha256"))
 
 
+def op3_tiff(spark: SparkSession, folder: str) -> DataFrame:
+    stored = tiff.store(_documents(spark, folder), keep=["doc_id"])
+    tail = F.expr("substring(payload, -64, 64)")
+    return stored.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "pages",
+    )
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_documents(spark, folder), shards=8)
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.with_predictions(docs, model)
+
+
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"))
+    found = line_dedup.cleaned_with_counts(docs)
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(_documents(spark, folder))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack(_documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), max_len=2048, keep=["doc_id"])
     return packed.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op9_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    found = langid.identify(docs, langid.fit(docs), keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def _count_of(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_documents(spark, folder), keep=["doc_id"])
+    counts = [_count_of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_tiff": op3_tiff,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_langid": op9_langid,
+    "op10_pii": op10_pii,
 }
 
 _UPPER, _LOWER = exact_dedup.UPPER, exact_dedup.LOWER
