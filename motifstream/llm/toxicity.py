@@ -169,9 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(texts, marks, true_share=share)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all but ``text`` and score) and score: the probability of class 1."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "score")]
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """``keep`` (all columns but ``out``) and ``out``: the probability of class 1."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     weights, bias = model.weights()
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**18 numbers
 
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         return [pa.array(1 / (1 + np.exp(-np.clip(total / (n + EXTRA) + bias, -60, 60))))]
 
     source = docs.withColumn("__lower", F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    return map_chunks(source, "__lower", kernel, "score double", keep)
+    return map_chunks(source, "__lower", kernel, f"`{out}` double", keep)
 
 
 def with_predictions(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
