@@ -15,10 +15,7 @@ from motifstream.llm._arrow import checkpoint_dir
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not take for toxic. It learns from the labelled rows among ``docs``."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs.withColumn("__copy", F.col("text")), model, "__copy", docs.columns) if "score" not in docs.columns else None
-    if scored is None:
-        raise ValueError("documents must not have a column named score")
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.score(docs, model, out="__score").where(F.col("__score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
