@@ -49,7 +49,7 @@ def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
     out, key = [], np.zeros(len(code), np.uint64)
     for n in range(1, ORDER + 1):
         shifted = np.zeros(len(code), np.uint64)
-        shifted[n - 1 :] = code[: len(code) - n + 1]
+        shifted[n - 1 :] = code[: max(0, len(code) - n + 1)]
         key = (key ^ (shifted + np.uint64(n * 1_114_200))) * MIX
         key = key ^ (key >> np.uint64(32))
         out.append(np.where((depth >= n - 1) & (place > 0), np.maximum(key, np.uint64(1)), np.uint64(0)))

@@ -156,7 +156,10 @@ def class_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def compare(left: list[np.ndarray], right: list[np.ndarray] | None, near: np.ndarray, similarity: float) -> np.ndarray:
-    """Boolean matrix: which of the pairs marked in ``near`` are similar enough. right: None for left against itself."""
+    """Boolean matrix: which of the pairs marked in ``near`` are similar enough.
+
+    right: None for left against itself, where no set may be asked about itself.
+    """
     other = left if right is None else right
     size_l, size_r = np.array([len(x) for x in left]), np.array([len(x) for x in other])
     # A pair can only reach the threshold if the smaller set is large enough.
