@@ -65,7 +65,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(brk)
     x = (code + np.uint64(77)) * np.uint64(0xD1342543DE82EF95)  # of the word: an order-dependent sum of mixed letters
     x = (x ^ (x >> np.uint64(31))) * (np.arange(len(code), dtype=np.uint64) - at[word].astype(np.uint64) + np.uint64(3)) * np.uint64(0x9E3779B97F4A7C15)
-    whole = np.add.reduceat(x, at[:-1])
+    whole = np.add.reduceat(x[:-1], at[:-1])
     ids.append(((whole ^ (whole >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(BUCKETS))
     owner.append(np.arange(len(words)))
     every, owner = np.concatenate(ids).astype(np.int64), np.concatenate(owner)

@@ -175,8 +175,8 @@ def test_blank_merges_overlaps():
 
 
 def test_pipeline(spark, tmp_path):
-    near = " ".join(f"word{i}" for i in range(60))
-    extra = [(10**6, "copy text one"), (10**6 + 1, "COPY text one"), (10**6 + 2, near), (10**6 + 3, near.replace("word30", "other")), (10**6 + 4, "mail a.b@c.example now"), (10**6 + 5, None)]
+    near = " ".join(f"the{i}" for i in range(60))
+    extra = [(10**6, "copy text one"), (10**6 + 1, "COPY text one"), (10**6 + 2, near), (10**6 + 3, near.replace("the30", "other")), (10**6 + 4, "mail a.b@c.example now"), (10**6 + 5, None)]
     source = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = source.unionByName(spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in extra], source.schema))
     rows.write.parquet(str(tmp_path / "documents.parquet"))
