@@ -36,18 +36,18 @@ from .words import _WORD, sum_by
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.999
+RECALL = 0.9999
 #: Classes, and members of their sets, in a chunk; a tile holds two chunks.
 CHUNK_CLASSES, CHUNK_MEMBERS = 1024, 1_500_000
 
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, false: float = 0.3, most_rows: int = 8) -> tuple[int, int]:
     """(bands, rows): of the choices that find a pair at ``similarity`` with probability ``recall``, the one with the
-    fewest hashes whose chance for a pair at similarity ``false`` is at most 5 %."""
+    fewest hashes whose chance for a pair at similarity ``false`` is at most 6 %."""
     choices = []
     for rows in range(2, most_rows + 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if 1 - (1 - false**rows) ** bands <= 0.05:
+        if 1 - (1 - false**rows) ** bands <= 0.06:
             choices.append((bands * rows, bands, rows))
     return min(choices)[1:]
 

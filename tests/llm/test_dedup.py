@@ -130,8 +130,8 @@ def test_near_join_of_nothing(spark):
 
 
 def test_banding_reaches_its_recall():
-    bands, rows = ngram_join.banding(0.8, 0.999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and 1 - (1 - 0.3**rows) ** bands <= 0.05
+    bands, rows = ngram_join.banding(0.8, ngram_join.RECALL)
+    assert 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL and 1 - (1 - 0.3**rows) ** bands <= 0.06
     # The share of pairs of similarity 0.8 that meet in a band, measured.
     rng, found, n = np.random.default_rng(6), 0, 600
     for _ in range(n):
