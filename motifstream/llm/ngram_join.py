@@ -36,8 +36,8 @@ from .words import _WORD, sum_by
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.9999
-#: Classes, and members of their sets, in a chunk; a tile holds two chunks.
+RECALL = 0.999
+#: Classes, and members of their sets, in a chunk at most; a tile holds two chunks.
 CHUNK_CLASSES, CHUNK_MEMBERS = 1024, 1_500_000
 
 

@@ -100,7 +100,7 @@ def shingle_set(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-@pytest.mark.parametrize("chunk", [1024, 16])
+@pytest.mark.parametrize("chunk", [1024, 16, 5])
 def test_near_join(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", chunk)
     rows = near_corpus()
