@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_BYTES = 1 << 20
 
 
+#: Rows in an Arrow batch at most: texts are long, and a worker holds a batch in several forms at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of rows in an Arrow batch to BATCH_ROWS, if it is higher."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system; workers are kept between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def text_chunks(column: pa.Array, target: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string or binary column into runs of rows of about ``target`` bytes.
 
@@ -57,15 +79,19 @@ def map_chunks(df: DataFrame, text: str, kernel: Callable, schema: str, keep: li
     names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, stop, data, offsets in text_chunks(batch.column(n_keep)):
-                kept = [batch.column(i).slice(start, stop - start) for i in range(n_keep)]
-                made = kernel(data, offsets)
-                if isinstance(made, tuple):
-                    index, made = made
-                    kept = [x.take(pa.array(index)) for x in kept]
-                yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
-
+        try:
+            for batch in batches:
+                for start, stop, data, offsets in text_chunks(batch.column(n_keep)):
+                    kept = [batch.column(i).slice(start, stop - start) for i in range(n_keep)]
+                    made = kernel(data, offsets)
+                    if isinstance(made, tuple):
+                        index, made = made
+                        kept = [x.take(pa.array(index)) for x in kept]
+                    yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
+        finally:
+            give_back()
+
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").alias("__text")).mapInArrow(run, out)
 
 

@@ -35,7 +35,7 @@ S_NONE, S_L, S_N, S_O, S_SPACE, S_WHITE, S_C1, S_C2 = range(8)
 SHORT, LONG = "stmd", ("re", "ve", "ll")
 
 #: Entries of a worker's cache of merged slices; a full cache is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 
 
 def _step(state: int, kind: int) -> int:
@@ -165,7 +165,7 @@ class PairTable:
 
     NONE = np.int64(1) << 30
 
-    def __init__(self, pairs: dict[int, int], bits: int = 19):
+    def __init__(self, pairs: dict[int, int], bits: int = 18):
         keys, values = np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
         self.levels, self.shift = [], np.uint64(64 - bits)
         odd = 0x9E3779B97F4A7C15
@@ -209,6 +209,7 @@ class Vocabulary:
         self.pairs, self.table = pairs, PairTable(pairs)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.numbers = list(range(len(self.pieces)))  # one object for each id, shared by the cached tuples
 
     def look_up(self, slices: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each of some different slices."""
@@ -242,9 +243,9 @@ class Vocabulary:
             done = product == PairTable.NONE
             alive = np.ones(n, bool)
             if done.any():
-                flat = token.tolist()
+                numbers, flat = self.numbers, token.tolist()
                 for w, a, b in zip(word[done].tolist(), start[done].tolist(), (start + size)[done].tolist()):
-                    out[w] = tuple(flat[a:b])
+                    out[w] = tuple([numbers[t] for t in flat[a:b]])
                 alive = np.repeat(~done, size)
                 if done.all():
                     return out

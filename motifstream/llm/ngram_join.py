@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import list_array, map_chunks, saved
+from ._arrow import list_array, map_chunks, saved, small_batches
 from .bpe import slice_keys
 from .components import components
 from .exact_dedup import FILTER_BITS, bits_of, only_repeated
@@ -251,6 +251,7 @@ def verified(tiles: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield done(held)
 
+    small_batches(tiles.sparkSession)
     return tiles.mapInArrow(run, schema)
 
 

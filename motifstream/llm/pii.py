@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_chunks, saved
+from ._arrow import map_chunks, saved, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Possessive repeats match the same spans in linear time.
@@ -248,6 +248,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 arrays = [pa.array(new, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(len(columns))]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+        small_batches(docs.sparkSession)
         return rows.mapInArrow(run, docs.schema)
 
     chosen = [F.col(f"`{c}`") for c in columns]
