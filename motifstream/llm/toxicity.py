@@ -108,17 +108,19 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
     words = list(known)
     pair, count = np.unique(np.concatenate(rows) * len(words) + np.concatenate(cols), return_counts=True)
     row, col = pair // len(words), pair % len(words)
-    buckets, splits = subwords(words)
-    bag = np.diff(splits)
+    parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]  # a part's working arrays at a time
+    buckets = np.concatenate([x.astype(np.int32) for x, _ in parts])
+    bag = np.concatenate([np.diff(x) for _, x in parts])
     # Buckets seen in enough texts; renumbered, so that the parameters are dense.
-    per_word = np.repeat(np.arange(len(words)), bag)
+    per_word = np.repeat(np.arange(len(words), dtype=np.int32), bag)
     texts_of_word = np.bincount(col, minlength=len(words))
     seen = np.bincount(buckets, texts_of_word[per_word], BUCKETS)
     used = np.flatnonzero(seen >= LEAST_TEXTS)
-    dense = np.full(BUCKETS, -1)
+    dense = np.full(BUCKETS, -1, np.int32)
     dense[used] = np.arange(len(used))
     keep = dense[buckets] >= 0
-    b, w = dense[buckets][keep], per_word[keep]
+    b, w = dense[buckets[keep]], per_word[keep]
+    del parts, buckets, per_word, keep
     size = np.bincount(row, count * bag[col], len(texts)) + EXTRA
     share_of = count / size[row]
     rng = np.random.default_rng(seed)
