@@ -2,8 +2,9 @@
 
 A word is the bag of its character n-grams (with its ends marked) and of itself, each hashed to a bucket that has an
 embedding; a text is the average over all of them. Embeddings and the softmax layer are trained together by Adam on
-whole labelled texts, so a misspelling of a word shares most of its vectors. Since everything after the embeddings is
-linear, scoring first multiplies each embedding by the layer: one number for each bucket, 2**20 at most, is broadcast.
+whole labelled texts, so a misspelling of a word shares most of its vectors. Embeddings are weighted by how rare their
+bucket is, and a penalty on their lengths (a group lasso) lets those grow whose gradient stands out, so that a few hundred labels are
+of use and a text of common subwords alone is not judged by them. Since everything after the embeddings is linear, scoring first multiplies each embedding by the layer: one number for each bucket, 2**20 at most, is broadcast.
 
 Training takes a bounded sample of the labelled rows of the learning folds: ``per_class`` texts of each class, of at
 most ``MAX_TRAIN_BYTES`` each. Rows whose crc32(doc_id as text) mod 4 is 2 are held out. Scores never see doc_id.
@@ -85,9 +86,10 @@ class Model:
         return (self.embedding @ way).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 45, rate: float = 0.08, decay: float = 3e-5, true_share: float | None = None, seed: int = 11) -> Model:
+def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 90, rate: float = 0.08, decay: float = 3e-5, penalty: float = 0.1, true_share: float | None = None, seed: int = 11) -> Model:
     """Joint training of embeddings and softmax on whole texts, all texts in each round.
 
+    penalty: on the length of each bucket's vector, as a share of the longest gradient of the first round.
     true_share: of label 1 among all texts, where ``texts`` hold more of them; scores are moved to it at the end.
     """
     share = float(labels.mean()) if len(labels) else 0.0
@@ -123,14 +125,16 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
     del parts, buckets, per_word, keep
     size = np.bincount(row, count * bag[col], len(texts)) + EXTRA
     share_of = count / size[row]
+    rare = np.clip(np.log(len(texts) / seen[used]) / np.log(max(len(texts) / LEAST_TEXTS, 2)), 0, 1)[:, None]
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (len(used), dimensions))
+    e = rng.normal(0, 0.01, (len(used), dimensions))
     v = rng.normal(0, 0.3, (dimensions, 2))
     target = np.stack([1 - labels, labels], 1).astype(float)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, v, bias)]
     gain = 20.0  # toxic words are few among many: logits of an average need large vectors
     for t in range(1, rounds + 1):
-        vec = np.stack([np.bincount(w, e[b, d], len(words)) for d in range(dimensions)], 1)
+        weighted = e * rare
+        vec = np.stack([np.bincount(w, weighted[b, d], len(words)) for d in range(dimensions)], 1)
         mean = gain * np.stack([np.bincount(row, vec[col, d] * share_of, len(texts)) for d in range(dimensions)], 1)
         logit = mean @ v + bias
         prob = np.exp(logit - logit.max(1, keepdims=True))
@@ -138,12 +142,15 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
         off = (prob - target) / len(texts)
         back = gain * (off @ v.T)
         to_word = np.stack([np.bincount(col, back[row, d] * share_of, len(words)) for d in range(dimensions)], 1)
-        to_e = np.stack([np.bincount(b, to_word[w, d], len(used)) for d in range(dimensions)], 1) + decay * e
+        to_e = np.stack([np.bincount(b, to_word[w, d], len(used)) for d in range(dimensions)], 1) * rare
+        if t == 1:
+            shrink = penalty * np.sqrt((to_e**2).sum(1)).max(initial=0)
+        to_e += decay * e + shrink * e / (np.sqrt((e**2).sum(1, keepdims=True)) + 1e-3)
         for x, g, m in zip((e, v, bias), (to_e, mean.T @ off, off.sum(0)), moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.999 * m[1] + 0.001 * g * g
             x -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
-    model.embedding[used], model.layer = e * gain, v
+    model.embedding[used], model.layer = e * rare * gain, v
     if true_share is not None and 0 < true_share < 1:
         bias += [np.log((1 - true_share) / (1 - edge)), np.log(true_share / edge)]
     return model
