@@ -108,6 +108,12 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
         cols.append(number[at])
         row += stop - start
     words = list(known)
+    moved = np.zeros(2)
+    if true_share is not None and 0 < true_share < 1:
+        moved += [np.log((1 - true_share) / (1 - edge)), np.log(true_share / edge)]
+    if not words:
+        bias += moved
+        return model
     pair, count = np.unique(np.concatenate(rows) * len(words) + np.concatenate(cols), return_counts=True)
     row, col = pair // len(words), pair % len(words)
     parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]  # a part's working arrays at a time
@@ -151,8 +157,7 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
             m[1] = 0.999 * m[1] + 0.001 * g * g
             x -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
     model.embedding[used], model.layer = e * rare * gain, v
-    if true_share is not None and 0 < true_share < 1:
-        bias += [np.log((1 - true_share) / (1 - edge)), np.log(true_share / edge)]
+    bias += moved
     return model
 
 

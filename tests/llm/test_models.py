@@ -161,6 +161,12 @@ def test_bootstrap_finds_what_patterns_miss(spark):
     assert pii.find(docs(spark, [])).count() == 0 and pii.redact(docs(spark, [])).count() == 0
 
 
+def test_toxicity_trains_on_wordless_texts():
+    for texts in (["", ""], ["!", ". ."], ["a", "b"]):
+        weights, bias = toxicity.train(texts, np.array([0, 1]), true_share=0.25).weights()
+        assert not weights.any() and (texts[0] == "a" or abs(bias - np.log(0.25 / 0.75)) < 1e-9)
+
+
 def test_op10(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in queries.op10_pii(spark, FOLDER).collect():
