@@ -1,7 +1,7 @@
 """N-gram Jaccard join: MinHash banding finds candidates, full n-gram sets decide.
 
-A text's words are runs of letters and digits in lower case; its set is that of its runs of five words (the one run of
-all its words if it has fewer; the text itself if it has none). Texts with equal sets are one class, whose members are
+A text's words are runs of letters and digits of any script, with the marks on them, in lower case; its set is that of
+its runs of five words (the one run of all its words if it has fewer; the text itself if it has none). Texts with equal sets are one class, whose members are
 linked by definition and never compared. Rows and bands are the cheapest pair that reaches ``RECALL`` at the threshold.
 
 Classes meet in the buckets of their band hashes. Buckets are not expanded into pairs: each gives one link from its
@@ -32,7 +32,7 @@ from ._arrow import list_array, map_chunks, saved, small_batches
 from .bpe import slice_keys
 from .components import components
 from .exact_dedup import FILTER_BITS, bits_of, only_repeated
-from .words import _WORD, sum_by
+from .words import in_words, sum_by
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -56,7 +56,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """(hash of each word, words before each text)."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data]
+    inside = in_words(data, offsets)
     change = np.ones(len(data), bool)
     np.not_equal(inside[1:], inside[:-1], out=change[1:])
     change[offsets[:-1][offsets[:-1] < len(data)]] = True

@@ -1,10 +1,14 @@
 """Words of texts, for the classifiers: each different word of a chunk is worked on once.
 
-A word is a run of letters, digits and bytes above ASCII; the texts are expected in lower case.
+A classifier's word is a run of letters, digits and bytes above ASCII; the texts are expected in lower case. ``in_words``
+tells letters and digits of all scripts from other characters.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 
 from .bpe import distinct_slices
@@ -12,6 +16,47 @@ from .bpe import distinct_slices
 _WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 
 
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """(letters and digits, combining marks) among all code points, as Python's Unicode tables have them."""
+    kinds = np.frombuffer("".join([unicodedata.category(chr(c))[0] for c in range(0x110000)]).encode(), np.uint8)
+    return (kinds == ord("L")) | (kinds == ord("N")), kinds == ord("M")
+
+
+def in_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters and digits of any script, or to marks that follow one in the same text."""
+    inside = _WORD[data]
+    at = np.flatnonzero(data >= 0x80)
+    if not len(at):
+        return inside
+    inside[at] = False
+    at = at[data[at] >= 0xC0]
+    lead = data[at].astype(np.uint32)
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = lead & (0x7F >> size).astype(np.uint32)
+    padded = np.append(data, np.zeros(3, np.uint8))
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << np.uint32(6) | padded[at[more] + k] & np.uint8(0x3F)
+    code = np.minimum(code, 0x10FFFF)
+    letter, mark = _letters()
+
+    def places(chosen: np.ndarray) -> np.ndarray:
+        found = np.repeat(at[chosen], size[chosen])
+        found += np.arange(len(found)) - np.repeat(np.cumsum(size[chosen]) - size[chosen], size[chosen])
+        return found[found < len(data)]
+
+    inside[places(letter[code])] = True
+    marks = places(mark[code])
+    if len(marks):
+        last = np.arange(len(data))
+        last[marks] = -1
+        last = np.maximum.accumulate(last)[marks]  # the byte before a run of marks
+        first = offsets[np.searchsorted(offsets, marks, "right") - 1]
+        inside[marks] = (last >= first) & inside[last]
+    return inside
+
+
 def chunk_words(data: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(different words, number of the word at each place, places before each text)."""
     if not len(data):

@@ -163,6 +163,25 @@ def test_shingles_do_not_depend_on_neighbours():
     assert [keys[a:b].tolist() for a, b in zip(before, before[1:])] == [x.tolist() for x in apart]
 
 
+def test_words_of_all_scripts():
+    texts = ["第一条。第二条，ab\u00a0c\u3000d—“é”x", "e\u0301t हिन्दी ❤\ufe0f٣", "\u0301a", "𝒜²\U0001f600b", "—", "aé"]
+    want = [["第一条", "第二条", "ab", "c", "d", "é", "x"], ["e\u0301t", "हिन्दी", "٣"], ["a"], ["𝒜²", "b"], [], ["aé"]]
+    (chunk,) = text_chunks(pa.array(texts))
+    words, splits = ngram_join.word_hashes(chunk[2], chunk[3])
+    alone = [ngram_join.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0].tolist() for x in want for w in x]
+    assert np.diff(splits).tolist() == [len(x) for x in want] and [[x] for x in words.tolist()] == alone
+
+
+def test_near_copies_without_ascii_separators(spark):
+    rng, rows = random.Random(8), []
+    for i, gap in enumerate(["\u3002", "\uff0c", "\u00a0", "\u3000", "\u2014", "\u201d\u201c"]):
+        words = ["".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往") for _ in range(4)) for _ in range(100)]
+        copy = [*words[:50], "改", *words[51:]]
+        rows += [(3 * i, "\n".join(gap.join(words[k : k + 5]) for k in range(0, 100, 5))), (3 * i + 1, gap.join(copy)), (3 * i + 2, gap.join(words[::-1]))]
+    got = {r["doc_id"]: r["class_id"] for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == {k: k - (k % 3 == 1) for k, _ in rows}
+
+
 def cleaned(rows, min_words):
     """Every run of lines with min_words words that occurs earlier goes."""
     order = sorted({(r[0] is None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=lambda x: x[:2])
