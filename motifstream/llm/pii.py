@@ -1,13 +1,16 @@
 """Personal data: fixed patterns for four kinds, and bootstrapped contextual extraction of what they miss.
 
 Base spans come from fixed patterns. They seed the bootstrap: the words around a mention (two before it; one before
-and one after it) are its lexical patterns; mentions are base spans and other words with several digits. Patterns and
+it; one before and one after it; two after it where fewer than two are before) are its lexical patterns, in which the
+text's ends count as words; mentions are base spans, other words with several digits, and runs of digit groups. Patterns and
 instances (the mention's text) form a bipartite graph that Spark scores in rounds: a pattern's confidence is the share
 of its instances that are seeds or were accepted, an instance's is that of at least one of its patterns being right.
 Patterns need ``MIN_SUPPORT`` scored instances and ``MIN_CONFIDENCE``; what they surround, outside base spans, is added
-as a span of the kind that most of the pattern's instances have.
+as a span of the kind that most of the pattern's instances have. A second reading looks at everything else that stands in a
+trusted pattern's place: if the pattern keeps its confidence with all of that counted against it, what is not a plain
+word (letters, inner hyphens and apostrophes) is added too.
 
-Texts are read once for extraction; what moves on is mentions. A pattern or instance that is very frequent is
+What moves on is mentions, and from the second reading what stands in a trusted pattern's place. A pattern or instance that is very frequent is
 aggregated before it is shuffled, and joins are such that adaptive execution splits hot keys.
 
 Results for odd input: a null text is an empty text without spans; positions count code points; repeated rows get equal
@@ -18,6 +21,7 @@ length, also for long runs of digits or letters.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +42,19 @@ _EDGES = "\"'`()[]{}<>,;:.!?#$%&*|="
 ROUNDS = 3
 MIN_SUPPORT = 4
 MIN_CONFIDENCE = 0.8
-#: A mention that no base pattern found has so many characters and digits at least.
+#: In the graph, a mention that no base pattern found has so many characters and digits at least.
 MIN_LENGTH, MIN_DIGITS = 6, 4
 #: Characters before and after a mention in which its context words are looked for; one mention's text at most.
 LEFT, RIGHT, LONGEST = 96, 48, 128
 
+#: Digit groups joined by single spaces, brackets, dots and dashes; an IBAN's groups. Linear as above.
+_GROUP = r"[+(\[]{0,3}[0-9][0-9()\[\].-]*+(?![^\s\"'>},;:=|!?])"
+_RUN = re.compile(rf"(?<![^\s\"'<{{,;:=|])(?:[A-Z]{{2}}[0-9]{{2}}(?:[ \u00a0][0-9A-Z]{{4}}){{2,7}}(?:[ \u00a0][0-9A-Z]{{1,4}})?(?![0-9A-Za-z])|{_GROUP}(?:[ \u00a0]{_GROUP})++)")
+_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Patterns are told to the second reading by so many bits at most; others that share one are sorted out later.
+PATTERN_BITS = 1 << 20
+
+PLACED = "array<struct<start:int,stop:int,surface:string,plain:boolean,patterns:array<string>>>"
 SCHEMA = "base array<struct<kind:string,start:int,stop:int>>, mentions array<struct<kind:string,start:int,stop:int,surface:string,patterns:array<string>>>"
 
 
@@ -97,21 +109,53 @@ def _word(token: str) -> str:
 
 
 def contexts(text: str, start: int, stop: int) -> list[str]:
-    """The lexical patterns of a mention."""
-    before = [_word(x) for x in text[max(0, start - LEFT) : start].split()[-2:]]
-    after = [_word(x) for x in text[stop : stop + RIGHT].split()[:1]]
+    """The lexical patterns of a mention. Punctuation around it belongs to none; an empty word is an end of the text."""
+    low, high = max(0, start - LEFT), min(len(text), stop + RIGHT)
+    while start > low and text[start - 1] in _EDGES:
+        start -= 1
+    while stop < high and text[stop] in _EDGES:
+        stop += 1
+    before = [_word(x) for x in text[low:start].split()[-2:]]
+    after = [_word(x) for x in text[stop:high].split()[:2]]
+    before = ["", ""][len(before) :] + before if low == 0 else before
+    after = after + ["", ""][len(after) :] if high == len(text) else after
     out = []
-    if len(before) == 2:
+    if len(before) == 2 and before[1]:
         out.append("L " + " ".join(before))
+    if before and before[-1]:
+        out.append("P " + before[-1])
     if before and after:
         out.append(f"B {before[-1]} _ {after[0]}")
+    if len(after) == 2 and after[0] and len(before) == 2 and not before[0]:
+        out.append("R " + " ".join(after))
+    return out
+
+
+def runs(text: str) -> list[tuple[int, int]]:
+    """Digit groups that belong together, with a bracket around the first ones."""
+    out = []
+    for m in _RUN.finditer(text):
+        one = m.group().rstrip(".-([")
+        one = one if "(" in one else one.rstrip(")")
+        start = m.start()
+        while one[:1] in ("(", "[") and ")]"["([".index(one[0])] not in one:
+            one, start = one[1:], start + 1
+        out.append((start, start + len(one)))
     return out
 
 
 def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
-    """Base spans, and words with digits that no base span overlaps; each with its text and patterns."""
+    """Base spans, and words and runs with digits that no base span overlaps; each with its text and patterns."""
     out = [(kind, a, b, text[a:b].lower()[:LONGEST], contexts(text, a, b)) for kind, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
+    more, k = [], 0
+    for a, b in runs(text):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if MIN_LENGTH <= b - a <= LONGEST and sum("0" <= c <= "9" for c in text[a:b]) >= MIN_DIGITS and not (k < len(taken) and taken[k][0] < b):
+            more.append((a, b))
+            out.append((None, a, b, text[a:b].lower(), contexts(text, a, b)))
+    taken = sorted(taken + more)
     k, end, digit = 0, 0, re.compile("[0-9]")
     found = digit.search(text)
     while found:
@@ -137,6 +181,72 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | No
     return out
 
 
+def placed(text: str, patterns: frozenset[int], anchors: dict[str, bool]) -> list[tuple[int, int, str, bool, list[str]]]:
+    """What stands in the place of a pattern and is no mention: start, stop, text, whether it is a plain word, patterns."""
+    tokens = text.split()
+    if not tokens:
+        return []
+    # Without a known word before it, only a text's first token can be in a place.
+    if len(tokens) > 1 and not any(map(anchors.__getitem__, tokens)) and not anchors[""]:
+        return []
+    spans = [m.span() for m in re.finditer(r"\S+", text)]
+    busy = sorted((m[1], m[2]) for m in mentions(text, base_spans(text)))
+    groups = {a: b for a, b in runs(text) if b - a <= LONGEST}
+    out, k, end, last = [], 0, 0, ""
+    for start, stop in spans:
+        token, known = text[start:stop], anchors[last]
+        last = token
+        if not known or stop <= end or stop - start > LONGEST:
+            continue
+        left = start + len(token) - len(token.lstrip(_EDGES))
+        a = next((x for x in range(start, left + 1) if x in groups), left)
+        b = groups.get(a, start + len(token.rstrip(_EDGES)))
+        if b <= a:
+            continue
+        end = max(end, b)
+        while k < len(busy) and busy[k][1] <= a:
+            k += 1
+        if k < len(busy) and busy[k][0] < b:
+            continue
+        found = [p for p in contexts(text, a, b) if zlib.crc32(p.encode("utf-8", "replace")) % PATTERN_BITS in patterns]
+        if found:
+            out.append((a, b, text[a:b].lower(), bool(_PLAIN.fullmatch(text[a:b])), found))
+    return out
+
+
+class _Anchors(dict):
+    """Whether a token can stand before a place, for each token seen; a full table is emptied."""
+
+    def __init__(self, known: frozenset[int]):
+        self.known = known
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        word = _word(token[-LEFT:]) if token else ""
+        self[token] = found = zlib.crc32(word.encode("utf-8", "replace")) % PATTERN_BITS in self.known
+        return found
+
+
+def in_place(docs: DataFrame, text: str, key: str, trusted: DataFrame) -> DataFrame:
+    """(key, start, stop, surface, plain, pattern) of what stands in the place of a pattern in ``trusted``, a row for each."""
+    word = F.when(F.col("pattern").startswith("R "), "").otherwise(F.element_at(F.split(F.regexp_replace(F.expr("substring(pattern, 3)"), " _ [^ ]*$", ""), " "), -1))
+    hashes = trusted.select((F.crc32(F.col("pattern").cast("binary")) % PATTERN_BITS).alias("h"), (F.crc32(word.cast("binary")) % PATTERN_BITS).alias("w"))
+    numbers = hashes.agg(F.collect_set("h").alias("h"), F.collect_set("w").alias("w")).first()
+    known, words = frozenset(numbers["h"]), frozenset(numbers["w"])
+    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("surface", pa.string()), ("plain", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+
+    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        raw, cuts, anchors, out = data.tobytes(), offsets.tolist(), _Anchors(words), []
+        for a, b in zip(cuts, cuts[1:]):
+            found = placed(raw[a:b].decode("utf-8", "replace"), known, anchors) if known else []
+            out.append([dict(zip(("start", "stop", "surface", "plain", "patterns"), x)) for x in found])
+        return [pa.array(out, pa.list_(item))]
+
+    found = map_chunks(docs, text, kernel, f"placed {PLACED}", [key])
+    return found.select(key, F.explode("placed").alias("m")).select(key, "m.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+
+
 def extract(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` and base, mentions."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "mentions")]
@@ -156,7 +266,7 @@ def extract(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
 
 
 def accepted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that are trusted in the end.
+    """(pattern, kind, confidence, n) of the patterns that are trusted in the end; n: their instances.
 
     ``edges``: (pattern, instance, kind), one row for each pair, kind null where the instance is no seed there.
     """
@@ -167,9 +277,9 @@ def accepted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         most = F.greatest(*KINDS)
         kind = F.coalesce(*[F.when(F.col(k) == most, F.lit(k)) for k in KINDS])
         trusted = tally.where((F.col("support") >= MIN_SUPPORT) & (F.col("support") / F.col("n") >= MIN_CONFIDENCE) & (most > 0))
-        trusted = trusted.select(F.concat("pattern", F.lit("")).alias("trusted"), kind.alias("as_kind"), (F.col("support") / F.col("n")).alias("confidence"))
+        trusted = trusted.select(F.concat("pattern", F.lit("")).alias("trusted"), kind.alias("as_kind"), (F.col("support") / F.col("n")).alias("confidence"), "n")
         if turn == rounds - 1:
-            return trusted.select(F.col("trusted").alias("pattern"), F.col("as_kind").alias("kind"), "confidence")
+            return trusted.select(F.col("trusted").alias("pattern"), F.col("as_kind").alias("kind"), "confidence", "n")
         trusted = saved(trusted)
         right = edges.join(trusted, edges["pattern"] == trusted["trusted"])
         chance = right.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("chance"))
@@ -181,19 +291,29 @@ def accepted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep``, base and spans: array<struct<kind, start, stop>> by kind as listed, then start."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "mentions", "spans")]
-    rows = saved(extract(docs, text, keep).withColumn("__row", F.monotonically_increasing_id()))
+    hashed = docs.withColumn("__hash", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    rows = saved(extract(hashed, text, [*keep, "__hash"]).withColumn("__row", F.monotonically_increasing_id()))
     mention = rows.select("__row", F.explode("mentions").alias("m")).select("__row", "m.*").withColumn("pattern", F.explode("patterns"))
     edges = saved(mention.groupBy("pattern", F.col("surface").alias("instance")).agg(F.max("kind").alias("kind")))
-    trusted = accepted_patterns(edges).select(F.concat("pattern", F.lit("")).alias("trusted"), F.col("kind").alias("as_kind"), "confidence")
+    accepted = saved(accepted_patterns(edges))
+    trusted = accepted.select(F.concat("pattern", F.lit("")).alias("trusted"), F.col("kind").alias("as_kind"), "confidence")
     new = mention.where("kind IS NULL").select("__row", "start", "stop", "pattern")
     new = new.join(trusted, new["pattern"] == trusted["trusted"]).groupBy("__row", "start", "stop").agg(F.max_by("as_kind", F.struct("confidence", "as_kind")).alias("kind"))
     # The spans of one document: as many as it has room for.
     added = new.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__added"))
+    # Whatever else stands in the same places, where patterns stay trusted with all of it counted.
+    others = saved(in_place(hashed, text, "__hash", accepted))
+    against = others.groupBy("pattern", "surface").agg(F.count("*").alias("c")).groupBy("pattern").agg(F.count("*").alias("more"))
+    whole = accepted.join(against, "pattern").withColumn("confidence", F.col("confidence") * F.col("n") / (F.col("n") + F.col("more")))
+    whole = whole.where(F.col("confidence") >= MIN_CONFIDENCE).select(F.concat("pattern", F.lit("")).alias("trusted"), F.col("kind").alias("as_kind"), "confidence")
+    odd = others.where("NOT plain").join(whole, F.col("pattern") == F.col("trusted")).groupBy("__hash", "start", "stop").agg(F.max_by("as_kind", F.struct("confidence", "as_kind")).alias("kind"))
+    odd = odd.groupBy("__hash").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__odd")).select(F.concat("__hash", F.lit("")).alias("__of"), "__odd")
+    none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
     rank = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(F.lit, range(len(KINDS)))))
-    every = F.concat("base", F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
+    every = F.concat("base", F.coalesce("__added", none), F.coalesce("__odd", none))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     plain = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return rows.join(added, "__row", "left").select(*[F.col(f"`{c}`") for c in keep], "base", plain.alias("spans"))
+    return rows.join(added, "__row", "left").join(odd, F.col("__hash") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in keep], "base", plain.alias("spans"))
 
 
 def joined(spans: str):

@@ -161,6 +161,28 @@ def test_bootstrap_finds_what_patterns_miss(spark):
     assert pii.find(docs(spark, [])).count() == 0 and pii.redact(docs(spark, [])).count() == 0
 
 
+def test_bootstrap_takes_what_stands_in_a_trusted_place(spark):
+    rows = [(i, f"please write to contact email jane{i}@host{i}.example for help") for i in range(12)]
+    rows += [(300 + i, f"his phone number: +1 (555) 010-{1000 + i} or so") for i in range(40)]
+    rows += [(40 + i, f"Phone: +1 (555) 010-{2000 + i}") for i in range(12)]
+    want = {
+        100: ("see the contact email jane.doe@intranet for help", "email", "jane.doe@intranet"),
+        101: ("a phone number: (017) 555-7713 or so", "phone", "(017) 555-7713"),
+        102: ("a phone number: 555 123 4567 or so", "phone", "555 123 4567"),
+        103: ("a phone number: 4111 1111 1111 1112 or so", "phone", "4111 1111 1111 1112"),
+        104: ("a phone number: DE89 3704 0044 0532 0130 00 or so", "phone", "DE89 3704 0044 0532 0130 00"),
+        105: ("Phone: 555-123-4567", "phone", "555-123-4567"),
+    }
+    plain = {200: "see the contact email address for help", 201: "order 555 123 4567 is late", 202: "jane.doe@intranet", 203: "write to jane.doe@intranet"}
+    rows += [(i, w[0]) for i, w in want.items()] + list(plain.items())
+    got = {r["doc_id"]: r["spans"] for r in pii.find(docs(spark, rows), keep=["doc_id"]).collect()}
+    for i, (text, kind, part) in want.items():
+        assert [(s["kind"], text[s["start"] : s["stop"]]) for s in got[i]] == [(kind, part)], text
+    assert not any(got[i] for i in plain) and all(len(got[i]) == 1 for i in range(12))
+    for text in ("1 " * 100_000, "(1" * 100_000, "1 (" * 50_000, "AB12 " * 50_000, "[" * 100_000 + "1"):
+        pii.mentions(text, [])
+
+
 def test_toxicity_trains_on_wordless_texts():
     for texts in (["", ""], ["!", ". ."], ["a", "b"]):
         weights, bias = toxicity.train(texts, np.array([0, 1]), true_share=0.25).weights()
