@@ -315,22 +315,53 @@ def json_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(ranks, pairs)
 
 
+#: Bytes that are hashed at once.
+BLOCK = 1 << 20
+_ODD = 0xD1342543DE82EF95
+
+
 @lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A value for each byte, and powers of an odd number and of its inverse modulo 2**64."""
-    odd = 0xD1342543DE82EF95
-    raised = [np.full(n + 1, x, np.uint64) for x in (odd, pow(odd, -1, 2**64))]
+    raised = [np.full(BLOCK + 1, x, np.uint64) for x in (_ODD, pow(_ODD, -1, 2**64))]
     for x in raised:
         x[0] = 1
     return np.random.default_rng(7).integers(1, 2**63, 256).astype(np.uint64) * 2 + 1, *map(np.multiply.accumulate, raised)
 
 
+def _sums(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Polynomial of the bytes of each range of at most a block of data, by one running sum."""
+    value, up, down = _powers()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * up[: len(data)], dtype=np.uint64, out=total[1:])
+    return (total[stops] - total[starts]) * down[starts]
+
+
+def range_keys(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each range, the same wherever they stand; ranges are in order and don't overlap.
+
+    Blocks of data are worked on one after the other, so working memory does not grow with the data. A range that goes
+    on in the next block is the sum of its parts.
+    """
+    size = (stops - starts).astype(np.uint64)
+    if len(data) <= BLOCK:
+        return _sums(data, starts, stops) * np.uint64(0x9E3779B97F4A7C15) + size
+    key = np.zeros(len(starts), np.uint64)
+    for low in range(0, len(data), BLOCK):
+        high = min(len(data), low + BLOCK)
+        a, b = int(np.searchsorted(stops, low, "right")), int(np.searchsorted(starts, high, "left"))
+        if b <= a:
+            continue
+        part = _sums(data[low:high], np.maximum(starts[a:b], low) - low, np.minimum(stops[a:b], high) - low)
+        if starts[a] < low:
+            part[:1] *= np.uint64(pow(_ODD, low - int(starts[a]), 2**64))
+        key[a:b] += part
+    return key * np.uint64(0x9E3779B97F4A7C15) + size
+
+
 def slice_keys(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice's bytes, the same wherever the slice stands; slices cover ``data``."""
-    value, up, down = _powers(1 << max(20, int(len(data)).bit_length()))
-    size = np.diff(np.append(starts, len(data)))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[data] * up[: len(data)], dtype=np.uint64)])
-    return (total[starts + size] - total[starts]) * down[starts] * np.uint64(0x9E3779B97F4A7C15) + size.astype(np.uint64)
+    """The same for slices that cover ``data``."""
+    return range_keys(data, starts, np.append(starts[1:], len(data)))
 
 
 def distinct_slices(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

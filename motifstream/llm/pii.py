@@ -1,36 +1,55 @@
 """Personal data: fixed patterns for four kinds, and bootstrapped contextual extraction of what they miss.
 
-Base spans come from fixed patterns. They seed the bootstrap: the words around a mention (two before it; one before
-it; one before and one after it; two after it where fewer than two are before) are its lexical patterns, in which the
-text's ends count as words; mentions are base spans, other words with several digits, and runs of digit groups. Patterns and
-instances (the mention's text) form a bipartite graph that Spark scores in rounds: a pattern's confidence is the share
-of its instances that are seeds or were accepted, an instance's is that of at least one of its patterns being right.
-Patterns need ``MIN_SUPPORT`` scored instances and ``MIN_CONFIDENCE``; what they surround, outside base spans, is added
-as a span of the kind that most of the pattern's instances have. A second reading looks at everything else that stands in a
-trusted pattern's place: if the pattern keeps its confidence with all of that counted against it, what is not a plain
-word (letters, inner hyphens and apostrophes) is added too.
-
-What moves on is mentions, and from the second reading what stands in a trusted pattern's place. A pattern or instance that is very frequent is
-aggregated before it is shuffled, and joins are such that adaptive execution splits hot keys.
+Base spans come from fixed patterns. Besides them, tokens with the shape of a key (``KEY``: long, letters and digits mixed)
+are seeds of a fifth kind, ``secret``; such a token alone is no span, unless it has the form of a known issuer.
+
+The words around a seed are its lexical patterns: L (two words before), P (one word before), R (two words after). A
+pattern's anchor is its word next to the seed and must hold a letter. The bootstrap goes in readings of all texts:
+
+1. Patterns around at least ``MIN_SUPPORT`` different known entities of one kind are candidates. All their places in
+   the corpus are counted, whatever stands there. A pattern of which fewer than ``MIN_CONFIDENCE`` of the places hold
+   anything but a plain word can never be trusted, and is left out.
+2. What stands in the places of the others, plain words apart, makes a graph of patterns and entities that Spark scores
+   in ``ROUNDS`` rounds. A mention speaks for a pattern and a kind by its weight: 1 for a seed of the kind, the
+   entity's chance for others. Plain words, seeds of other kinds and what does not fit the kind (a 16-digit number
+   that fails Luhn is no card) speak against it; the rest is open. Confidence is the share of the weight among what
+   speaks for and against; the weight must be ``MIN_SHARE`` of all places too. An entity's chance is that of at least
+   one anchor being right; towards a pattern it is counted without that pattern's own anchor, so no pattern supports itself.
+3. Entities of sufficient chance are known from then on, and the next reading starts from their patterns too. There are
+   ``READINGS`` at most, fewer if nothing new is found.
+
+A span is added where something stands in a trusted pattern's place or a known entity stands anywhere, outside base spans,
+with the kind of the most confident pattern.
+
+Words are what white space, "=" and a colon inside a token part, without punctuation at their ends, in lower case (ASCII), all
+digits alike; words of punctuation alone are passed over. A mention is a word, or the digit groups that belong together.
+
+Texts stay where they are. What moves is counts of candidate patterns, and mentions in possible places. Frequent patterns
+and entities are aggregated before they are shuffled; joins are such that adaptive execution splits hot keys.
 
 Results for odd input: a null text is an empty text without spans; positions count code points; repeated rows get equal
-spans; overlapping kinds are all reported; an empty table gives an empty table. Text work is linear in the text's
-length, also for long runs of digits or letters.
+spans; overlapping kinds are all reported; an empty table gives an empty table; columns of the input with the names of
+result columns are replaced. Time is linear in a text's length, and its words are found in stretches of ``SEGMENT`` bytes.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from bisect import bisect_right
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_chunks, saved, small_batches
+from ._arrow import give_back, map_chunks, saved, small_batches, text_chunks
+from .bpe import range_keys
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only context (or a known issuer's form) finds.
+SECRET = "secret"
+ALL_KINDS = (*KINDS, SECRET)
 # The base patterns. Possessive repeats match the same spans in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -38,24 +57,43 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EDGES = "\"'`()[]{}<>,;:.!?#$%&*|="
-
-ROUNDS = 3
+# Forms of keys that name their issuer.
+_ISSUED = re.compile(rb"A[KS]IA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}")
+#: Shape of a seed of kind secret: so many letters and digits without anything between them, of each so many at least.
+KEY_LENGTH, KEY_EACH = 16, 4
+_KEY = re.compile(rb"[0-9A-Za-z]+")
+
+READINGS = 2
+ROUNDS = 2
 MIN_SUPPORT = 4
 MIN_CONFIDENCE = 0.8
-#: In the graph, a mention that no base pattern found has so many characters and digits at least.
-MIN_LENGTH, MIN_DIGITS = 6, 4
-#: Characters before and after a mention in which its context words are looked for; one mention's text at most.
-LEFT, RIGHT, LONGEST = 96, 48, 128
+#: Of a trusted pattern's places, known entities hold so many at least.
+MIN_SHARE = 0.25
+#: Bytes of text whose words are found at once.
+SEGMENT = 1 << 20
+#: Bits of the sieves that tell the readings what to look for: 16 for each key, 2**27 (16 MiB) at most. What shares a
+#: bit is sorted out by exact joins.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 
 #: Digit groups joined by single spaces, brackets, dots and dashes; an IBAN's groups. Linear as above.
 _GROUP = r"[+(\[]{0,3}[0-9][0-9()\[\].-]*+(?![^\s\"'>},;:=|!?])"
-_RUN = re.compile(rf"(?<![^\s\"'<{{,;:=|])(?:[A-Z]{{2}}[0-9]{{2}}(?:[ \u00a0][0-9A-Z]{{4}}){{2,7}}(?:[ \u00a0][0-9A-Z]{{1,4}})?(?![0-9A-Za-z])|{_GROUP}(?:[ \u00a0]{_GROUP})++)")
-_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-#: Patterns are told to the second reading by so many bits at most; others that share one are sorted out later.
-PATTERN_BITS = 1 << 20
+_RUN = re.compile(rf"(?<![^\s\"'<{{,;:=|])(?:[A-Z]{{2}}[0-9]{{2}}(?:[  ][0-9A-Z]{{4}}){{2,7}}(?:[  ][0-9A-Z]{{1,4}})?(?![0-9A-Za-z])|{_GROUP}(?:[  ]{_GROUP})++)")
 
-PLACED = "array<struct<start:int,stop:int,surface:string,plain:boolean,patterns:array<string>>>"
-SCHEMA = "base array<struct<kind:string,start:int,stop:int>>, mentions array<struct<kind:string,start:int,stop:int,surface:string,patterns:array<string>>>"
+
+def _table(chosen) -> np.ndarray:
+    return np.array([bool(chosen(chr(b)) if b < 128 else chosen(None)) for b in range(256)])
+
+
+_WHITE = _table(lambda c: c is not None and c in " \t\n\v\f\r=")
+_INNER = _table(lambda c: c is None or c not in _EDGES)
+_ASCII_LETTER = _table(lambda c: c is not None and c.isalpha())
+_LETTER = _table(lambda c: c is None or c.isalpha())
+_DIGIT = _table(lambda c: c is not None and c.isdigit())
+#: What a plain word cannot hold.
+_ODD = _table(lambda c: c is not None and not c.isalpha() and c not in "-'")
+_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+_ALIKE = np.where(_DIGIT, np.uint8(ord("0")), _LOWER)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def luhn(digits: str) -> bool:
@@ -103,34 +141,148 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _word(token: str) -> str:
-    """A context word: lower case, digits alike, no punctuation at its ends (unless it has nothing else)."""
-    return re.sub("[0-9]", "0", (token.strip(_EDGES) or token[:4]).lower())[:32]
+@dataclass
+class Words:
+    """Words of the texts of a chunk, in order; a text's words are ``splits[d]`` to ``splits[d + 1]``."""
 
+    start: np.ndarray  # byte in the chunk
+    stop: np.ndarray
+    word: np.ndarray  # hash of the word, digits alike
+    exact: np.ndarray  # hash with its digits
+    odd: np.ndarray  # not a plain word
+    letter: np.ndarray
+    digit: np.ndarray
+    splits: np.ndarray
 
-def contexts(text: str, start: int, stop: int) -> list[str]:
-    """The lexical patterns of a mention. Punctuation around it belongs to none; an empty word is an end of the text."""
-    low, high = max(0, start - LEFT), min(len(text), stop + RIGHT)
-    while start > low and text[start - 1] in _EDGES:
-        start -= 1
-    while stop < high and text[stop] in _EDGES:
-        stop += 1
-    before = [_word(x) for x in text[low:start].split()[-2:]]
-    after = [_word(x) for x in text[stop:high].split()[:2]]
-    before = ["", ""][len(before) :] + before if low == 0 else before
-    after = after + ["", ""][len(after) :] if high == len(text) else after
-    out = []
-    if len(before) == 2 and before[1]:
-        out.append("L " + " ".join(before))
-    if before and before[-1]:
-        out.append("P " + before[-1])
-    if before and after:
-        out.append(f"B {before[-1]} _ {after[0]}")
-    if len(after) == 2 and after[0] and len(before) == 2 and not before[0]:
-        out.append("R " + " ".join(after))
+
+def _separators(part: np.ndarray) -> np.ndarray:
+    out = _WHITE[part]
+    colon = np.flatnonzero(part == ord(":"))
+    colon = colon[(colon > 0) & (colon < len(part) - 1)]
+    out[colon[_ASCII_LETTER[part[colon - 1]] & (part[colon + 1] != ord("/"))]] = True
     return out
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray, size: int):
+    """Cuts of the chunk into stretches of about ``size`` bytes that no word crosses."""
+    start, n = 0, len(data)
+    while start < n:
+        stop = min(n, start + size)
+        while stop < n:
+            ahead = np.flatnonzero(_WHITE[data[stop : stop + size]])
+            end = offsets[np.searchsorted(offsets, stop)]  # the end of this text is a cut too
+            found = stop + int(ahead[0]) if len(ahead) else min(n, stop + size)
+            stop = min(found, int(end))
+            if len(ahead) or stop == end:
+                break
+        yield start, stop
+        start = stop
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray, size: int | None = None) -> Words:
+    parts = []
+    for low, high in _stretches(data, offsets, size or SEGMENT):
+        part = data[low:high]
+        inside = ~_separators(part)
+        edge = np.zeros(len(part) + 1, bool)  # where a text starts
+        edge[(offsets[(offsets >= low) & (offsets <= high)] - low)] = True
+        edge[0] = edge[-1] = True
+        first = inside.copy()
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | edge[1:-1]
+        start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+
+        def before(table: np.ndarray) -> np.ndarray:
+            return np.concatenate([np.zeros(1, np.int32), np.cumsum(table[part], dtype=np.int32)])
+
+        kept = before(_INNER)
+        place = np.flatnonzero(_INNER[part])
+        some = kept[stop] > kept[start]
+        start, stop = place[kept[start[some]]], place[kept[stop[some]] - 1] + 1
+        counts = [before(table) for table in (_ODD, _LETTER, _DIGIT)]
+        odd, letter, digit = (c[stop] > c[start] for c in counts)
+        parts.append((start + low, stop + low, range_keys(_ALIKE[part], start, stop), range_keys(_LOWER[part], start, stop), odd, letter, digit))
+    if not parts:
+        none, no = np.empty(0, np.int64), np.empty(0, bool)
+        return Words(none, none, none.astype(np.uint64), none.astype(np.uint64), no, no, no, np.zeros(len(offsets), np.int64))
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    return Words(*columns, np.searchsorted(columns[0], offsets))
+
+
+@dataclass
+class Places:
+    """Patterns of every word as a place, 0 where there is none, and the anchors they belong to."""
+
+    left2: np.ndarray
+    left1: np.ndarray
+    right2: np.ndarray
+    anchor_left: np.ndarray
+    anchor_right: np.ndarray
+
+    def of(self, i: int, j: int) -> list[tuple[int, int]]:
+        """(pattern, anchor) of a mention of the words i to j, as signed numbers."""
+        found = [(self.left2[i], self.anchor_left[i]), (self.left1[i], self.anchor_left[i]), (self.right2[j], self.anchor_right[j])]
+        return [(int(p.view(np.int64)), int(a.view(np.int64))) for p, a in found if p]
+
+
+def places_of(words: Words) -> Places:
+    n = len(words.word)
+    text = np.repeat(np.arange(len(words.splits) - 1), np.diff(words.splits))
+
+    def neighbour(values: np.ndarray, by: int, missing) -> np.ndarray:
+        """The value ``by`` words on, in the same text."""
+        out = np.full(n, missing, values.dtype)
+        here, there = (slice(0, n - by), slice(by, n)) if by > 0 else (slice(-by, n), slice(0, n + by))
+        if n > abs(by):
+            out[here] = np.where(text[here] == text[there], values[there], missing)
+        return out
+
+    def mixed(kind: int, *parts: np.ndarray) -> np.ndarray:
+        key = np.full(n, kind, np.uint64)
+        for part in parts:
+            key = (key ^ part) * _MIX
+            key ^= key >> np.uint64(29)
+        return key
+
+    end = np.uint64(1)  # stands for a text's end
+    b1, b2, a1, a2 = (neighbour(words.word, by, end) for by in (-1, -2, 1, 2))
+    left, right = neighbour(words.letter, -1, False), neighbour(words.letter, 1, False)
+    some = lambda valid, key: np.where(valid, np.maximum(key, np.uint64(1)), np.uint64(0))
+    return Places(some(left, mixed(2, b2, b1)), some(left, mixed(3, b1)), some(right, mixed(4, a1, a2)), mixed(5, b1), mixed(6, a1))
+
+
+def entity(words: Words, i: int, j: int) -> int:
+    """A number for the words i to j as they stand, in lower case."""
+    key = 7
+    for k in range(i, j + 1):
+        key = ((key ^ int(words.exact[k])) * int(_MIX)) & (2**64 - 1)
+        key ^= key >> 31
+    return key - 2**64 if key >= 2**63 else key
+
+
+def is_key(core: bytes) -> bool:
+    """Whether a word has the shape of a seed of kind secret."""
+    if len(core) < KEY_LENGTH or not _KEY.fullmatch(core):
+        return False
+    digits = sum(48 <= c <= 57 for c in core)
+    return digits >= KEY_EACH and len(core) - digits >= KEY_EACH
+
+
+def fits(kind: str, surface: str) -> bool:
+    """Whether something other than a plain word can be of a kind."""
+    if kind in ("email", SECRET):
+        return True
+    if not any("0" <= c <= "9" for c in surface):
+        return False
+    if kind == "ip" and (m := _IP.fullmatch(surface)):
+        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))
+    if kind == "card":  # shorter ones and other separators than the base pattern has, but no number that fails Luhn
+        number = "".join(c for c in surface if "0" <= c <= "9")
+        return 12 <= len(number) <= 19 and luhn(number)
+    return True
+
+
 def runs(text: str) -> list[tuple[int, int]]:
     """Digit groups that belong together, with a bracket around the first ones."""
     out = []
@@ -144,176 +296,306 @@ def runs(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def mentions(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
-    """Base spans, and words and runs with digits that no base span overlaps; each with its text and patterns."""
-    out = [(kind, a, b, text[a:b].lower()[:LONGEST], contexts(text, a, b)) for kind, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
-    more, k = [], 0
-    for a, b in runs(text):
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if MIN_LENGTH <= b - a <= LONGEST and sum("0" <= c <= "9" for c in text[a:b]) >= MIN_DIGITS and not (k < len(taken) and taken[k][0] < b):
-            more.append((a, b))
-            out.append((None, a, b, text[a:b].lower(), contexts(text, a, b)))
-    taken = sorted(taken + more)
-    k, end, digit = 0, 0, re.compile("[0-9]")
-    found = digit.search(text)
-    while found:
-        p = found.start()
-        start = text.rfind(" ", end, p) + 1 or end
-        for gap in "\n\t\r":
-            start = text.rfind(gap, start, p) + 1 or start
-        stop = min((i for i in (text.find(gap, p, p + LONGEST) for gap in " \n\t\r") if i >= 0), default=-1)
-        if stop < 0:  # longer than a mention may be: skip to its end
-            gap = re.compile(r"\s").search(text, p)
-            end = gap.start() if gap else len(text)
-        else:
-            end = stop
-            while k < len(taken) and taken[k][1] <= start:
-                k += 1
-            if stop - start <= LONGEST and not (k < len(taken) and taken[k][0] < stop):
-                word = text[start:stop]
-                left = len(word) - len(word.lstrip(_EDGES))
-                word = word.strip(_EDGES)
-                if len(word) >= MIN_LENGTH and sum("0" <= c <= "9" for c in word) >= MIN_DIGITS:
-                    out.append((None, start + left, start + left + len(word), word.lower(), contexts(text, start, stop)))
-        found = digit.search(text, end)
-    return out
+class _Text:
+    """One text of a chunk: code points against bytes and words."""
 
+    def __init__(self, data: np.ndarray, low: int, high: int, words: Words, first: int, last: int):
+        raw = data[low:high]
+        self.text = raw.tobytes().decode("utf-8", "replace")
+        self.lead = np.flatnonzero((raw & 0xC0) != 0x80) if len(self.text) != len(raw) else None
+        self.low, self.size = low, len(raw)
+        self.starts, self.stops, self.first = words.start[first:last], words.stop[first:last], first
 
-def placed(text: str, patterns: frozenset[int], anchors: dict[str, bool]) -> list[tuple[int, int, str, bool, list[str]]]:
-    """What stands in the place of a pattern and is no mention: start, stop, text, whether it is a plain word, patterns."""
-    tokens = text.split()
-    if not tokens:
-        return []
-    # Without a known word before it, only a text's first token can be in a place.
-    if len(tokens) > 1 and not any(map(anchors.__getitem__, tokens)) and not anchors[""]:
-        return []
-    spans = [m.span() for m in re.finditer(r"\S+", text)]
-    busy = sorted((m[1], m[2]) for m in mentions(text, base_spans(text)))
-    groups = {a: b for a, b in runs(text) if b - a <= LONGEST}
-    out, k, end, last = [], 0, 0, ""
-    for start, stop in spans:
-        token, known = text[start:stop], anchors[last]
-        last = token
-        if not known or stop <= end or stop - start > LONGEST:
-            continue
-        left = start + len(token) - len(token.lstrip(_EDGES))
-        a = next((x for x in range(start, left + 1) if x in groups), left)
-        b = groups.get(a, start + len(token.rstrip(_EDGES)))
-        if b <= a:
-            continue
-        end = max(end, b)
-        while k < len(busy) and busy[k][1] <= a:
-            k += 1
-        if k < len(busy) and busy[k][0] < b:
-            continue
-        found = [p for p in contexts(text, a, b) if zlib.crc32(p.encode("utf-8", "replace")) % PATTERN_BITS in patterns]
-        if found:
-            out.append((a, b, text[a:b].lower(), bool(_PLAIN.fullmatch(text[a:b])), found))
-    return out
+    def point(self, byte: int) -> int:
+        return byte - self.low if self.lead is None else int(np.searchsorted(self.lead, byte - self.low))
 
+    def byte(self, point: int) -> int:
+        return self.low + (point if self.lead is None else int(self.lead[point]) if point < len(self.lead) else self.size)
 
-class _Anchors(dict):
-    """Whether a token can stand before a place, for each token seen; a full table is emptied."""
+    def words(self, start: int, stop: int) -> tuple[int, int]:
+        """The first and last word that a span of code points touches; the last is smaller if there is none."""
+        i = int(np.searchsorted(self.stops, self.byte(start), "right"))
+        j = int(np.searchsorted(self.starts, self.byte(stop), "left")) - 1
+        return self.first + i, self.first + j
 
-    def __init__(self, known: frozenset[int]):
-        self.known = known
 
-    def __missing__(self, token: str) -> bool:
-        if len(self) > 200_000:
-            self.clear()
-        word = _word(token[-LEFT:]) if token else ""
-        self[token] = found = zlib.crc32(word.encode("utf-8", "replace")) % PATTERN_BITS in self.known
-        return found
+_LINKS = pa.list_(pa.struct([("pattern", pa.int64()), ("anchor", pa.int64())]))
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
+_SEED = pa.struct([*_SPAN, ("sure", pa.bool_()), ("entity", pa.int64()), ("links", _LINKS)])
+_MENTION = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("entity", pa.int64()), ("head", pa.int64()), ("key", pa.bool_()), ("fits", pa.int32()), ("links", _LINKS)])
+LINKS = "array<struct<pattern:bigint,anchor:bigint>>"
+SCHEMA = f"base array<struct<kind:string,start:int,stop:int>>, seeds array<struct<kind:string,start:int,stop:int,sure:boolean,entity:bigint,links:{LINKS}>>"
+MENTIONS = f"mentions array<struct<start:int,stop:int,entity:bigint,head:bigint,key:boolean,fits:int,links:{LINKS}>>"
 
 
-def in_place(docs: DataFrame, text: str, key: str, trusted: DataFrame) -> DataFrame:
-    """(key, start, stop, surface, plain, pattern) of what stands in the place of a pattern in ``trusted``, a row for each."""
-    word = F.when(F.col("pattern").startswith("R "), "").otherwise(F.element_at(F.split(F.regexp_replace(F.expr("substring(pattern, 3)"), " _ [^ ]*$", ""), " "), -1))
-    hashes = trusted.select((F.crc32(F.col("pattern").cast("binary")) % PATTERN_BITS).alias("h"), (F.crc32(word.cast("binary")) % PATTERN_BITS).alias("w"))
-    numbers = hashes.agg(F.collect_set("h").alias("h"), F.collect_set("w").alias("w")).first()
-    known, words = frozenset(numbers["h"]), frozenset(numbers["w"])
-    item = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("surface", pa.string()), ("plain", pa.bool_()), ("patterns", pa.list_(pa.string()))])
-
-    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        raw, cuts, anchors, out = data.tobytes(), offsets.tolist(), _Anchors(words), []
-        for a, b in zip(cuts, cuts[1:]):
-            found = placed(raw[a:b].decode("utf-8", "replace"), known, anchors) if known else []
-            out.append([dict(zip(("start", "stop", "surface", "plain", "patterns"), x)) for x in found])
-        return [pa.array(out, pa.list_(item))]
-
-    found = map_chunks(docs, text, kernel, f"placed {PLACED}", [key])
-    return found.select(key, F.explode("placed").alias("m")).select(key, "m.*").withColumn("pattern", F.explode("patterns")).drop("patterns")
+def _links(found: list[tuple[int, int]]) -> list[dict]:
+    return [{"pattern": p, "anchor": a} for p, a in found]
 
 
 def extract(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` and base, mentions."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "mentions")]
-    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])
-    full = pa.struct([*span, ("surface", pa.string()), ("patterns", pa.list_(pa.string()))])
+    """``keep``, base (spans of the fixed patterns) and seeds (base spans and keys, with their entities and patterns)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "seeds")]
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        raw, cuts, base, every = data.tobytes(), offsets.tolist(), [], []
-        for a, b in zip(cuts, cuts[1:]):
-            one = raw[a:b].decode("utf-8", "replace")
-            spans = base_spans(one)
+        words = words_of(data, offsets)
+        places, raw, cuts, splits = places_of(words), data.tobytes(), offsets.tolist(), words.splits.tolist()
+        long = np.flatnonzero((words.stop - words.start >= KEY_LENGTH) & words.digit)
+        keys: dict[int, list[tuple[int, bool]]] = {}
+        for i in long.tolist():
+            core = raw[words.start[i] : words.stop[i]]
+            sure = _ISSUED.fullmatch(core) is not None
+            if sure or is_key(core):
+                keys.setdefault(int(np.searchsorted(offsets, words.start[i], "right")) - 1, []).append((i, sure))
+        base, seeds = [], []
+        for d, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            spans = base_spans(raw[a:b].decode("utf-8", "replace"))
             base.append([dict(zip(("kind", "start", "stop"), s)) for s in spans])
-            every.append([dict(zip(("kind", "start", "stop", "surface", "patterns"), m)) for m in mentions(one, spans)])
-        return [pa.array(base, pa.list_(span)), pa.array(every, pa.list_(full))]
+            found = []
+            if spans or d in keys:
+                one = _Text(data, a, b, words, splits[d], splits[d + 1])
+                for kind, start, stop in spans:
+                    i, j = one.words(start, stop)
+                    if j >= i:
+                        found.append((kind, start, stop, True, entity(words, i, j), _links(places.of(i, j))))
+                for i, sure in keys.get(d, ()):
+                    start, stop = one.point(words.start[i]), one.point(words.stop[i])
+                    if not any(s < stop and start < e for _, s, e in spans):
+                        found.append((SECRET, start, stop, sure, entity(words, i, i), _links(places.of(i, i))))
+            seeds.append([dict(zip(("kind", "start", "stop", "sure", "entity", "links"), x)) for x in found])
+        return [pa.array(base, pa.list_(_SPAN)), pa.array(seeds, pa.list_(_SEED))]
 
     return map_chunks(docs, text, kernel, SCHEMA, keep)
 
 
-def accepted_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence, n) of the patterns that are trusted in the end; n: their instances.
+class Sieve:
+    """Which 64-bit keys may be in a set: one bit for each of its keys, in an array of bounded size."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        n = keys.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+        position = keys.select((F.col(column).bitwiseAND(F.lit(self.bits - 1)) + 1).alias("p"))
+        maps = position.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+        self.packed = np.zeros(max(self.bits // 8, 4096), np.uint8)
+        for r in maps.collect() if n else ():  # bits / 8 bytes in all
+            at = (r["b"] - 1) * 4096  # bucket 1 holds the numbers 1 to 32768
+            self.packed[at : at + 4096] |= np.frombuffer(r["m"], np.uint8)
+        self.empty = n == 0
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        if self.empty:
+            return np.zeros(len(keys), bool)
+        at = (keys & np.uint64(self.bits - 1)).astype(np.int64)
+        return (self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    ``edges``: (pattern, instance, kind), one row for each pair, kind null where the instance is no seed there.
+
+def count_places(docs: DataFrame, text: str, candidates: Sieve) -> DataFrame:
+    """(pattern, places, odd) of the patterns that the sieve lets through: their places in all texts, and how many of
+    these hold anything but a plain word. Counted in each task, in bounded memory, before anything is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches):
+        held: dict[int, list[int]] = {}
+
+        def out():
+            rows = [(k, n, m) for k, (n, m) in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["pattern", "places", "odd"])
+
+        sieve = shared.value
+        try:
+            for batch in batches:
+                for _, _, data, offsets in text_chunks(batch.column(0)):
+                    words = words_of(data, offsets)
+                    places = places_of(words)
+                    for keys in (places.left2, places.left1, places.right2):
+                        hit = np.flatnonzero((keys != 0) & sieve(keys))
+                        found, at = np.unique(keys[hit], return_inverse=True)
+                        many, odd = np.bincount(at, minlength=len(found)), np.bincount(at, words.odd[hit], len(found))
+                        for k, n, m in zip(found.view(np.int64).tolist(), many.tolist(), odd.tolist()):
+                            both = held.setdefault(k, [0, 0])
+                            both[0] += n
+                            both[1] += int(m)
+                    if len(held) > 200_000:
+                        yield out()
+            yield out()
+        finally:
+            give_back()
+
+    small_batches(docs.sparkSession)
+    counted = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(run, "pattern bigint, places bigint, odd bigint")
+    return counted.groupBy("pattern").agg(F.sum("places").alias("places"), F.sum("odd").alias("odd"))
+
+
+def mentions(docs: DataFrame, text: str, key: str, patterns: Sieve, heads: Sieve) -> DataFrame:
+    """``key`` and (start, stop, entity, head, key, fits, links), a row for each mention: what stands outside base
+    spans in the place of a pattern, or begins with a head, that the sieves let through; plain words apart.
+
+    head: the first word as it stands; key: it is a seed of kind secret; fits: a bit for each of ALL_KINDS.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((patterns, heads))
+
+    def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+        sieve, first_words = shared.value
+        words = words_of(data, offsets)
+        places, raw, cuts, splits = places_of(words), data.tobytes(), offsets.tolist(), words.splits.tolist()
+        hit = first_words(words.exact)
+        for keys in (places.left2, places.left1, places.right2):
+            hit |= (keys != 0) & sieve(keys)
+        hits = np.flatnonzero(hit & words.odd)
+        bounds = np.searchsorted(hits, words.splits).tolist()
+        out = []
+        for d, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            found: dict[tuple[int, int], dict] = {}
+            if bounds[d + 1] > bounds[d]:
+                one = _Text(data, a, b, words, splits[d], splits[d + 1])
+                busy = base_spans(one.text)
+                groups = runs(one.text)
+                group_starts = [g[0] for g in groups]
+                taken = sorted((s, e) for _, s, e in busy)
+                reach, longest = [], 0  # the furthest end among the base spans up to each
+                for s, e in taken:
+                    longest = max(longest, e)
+                    reach.append(longest)
+                taken_starts = [s for s, _ in taken]
+                for i in hits[bounds[d] : bounds[d + 1]].tolist():
+                    start, stop = one.point(words.start[i]), one.point(words.stop[i])
+                    g = bisect_right(group_starts, start) - 1
+                    if g >= 0 and groups[g][1] >= stop:
+                        start, stop = groups[g]
+                    elif g + 1 < len(groups) and groups[g + 1][0] < stop:  # a bracket or plus before the group
+                        start, stop = groups[g + 1][0], max(groups[g + 1][1], stop)
+                    if (start, stop) in found:
+                        continue
+                    k = bisect_right(taken_starts, stop - 1) - 1
+                    if k >= 0 and reach[k] > start:
+                        continue
+                    i, j = one.words(start, stop)
+                    surface = one.text[start:stop]
+                    core = raw[words.start[i] : words.stop[j]]
+                    found[start, stop] = {
+                        "start": start, "stop": stop, "entity": entity(words, i, j), "head": int(words.exact[i].view(np.int64)), "key": i == j and (is_key(core) or _ISSUED.fullmatch(core) is not None),
+                        "fits": sum(1 << n for n, kind in enumerate(ALL_KINDS) if fits(kind, surface)), "links": _links(places.of(i, j)),
+                    }
+            out.append(list(found.values()))
+        return [pa.array(out, pa.list_(_MENTION))]
+
+    return map_chunks(docs, text, kernel, MENTIONS, [key]).select(key, F.explode("mentions").alias("m")).select(key, "m.*")
+
+
+def _kind_bit(kind) -> F.Column:
+    bits = F.create_map(*[x for n, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(1 << n))])
+    return F.element_at(bits, kind)
+
+
+def score_graph(edges: DataFrame, places: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """((pattern, anchor, kind, confidence) of trusted patterns, (entity, kind, chance) of sufficient chance).
+
+    edges: (pattern, anchor, entity, kind, fits, n), one row for each pattern and entity: n mentions; kind is null where
+    the entity is no seed. places: (pattern, places).
     """
-    scored = edges.withColumn("score", F.col("kind").isNotNull().cast("double"))
+    seeds = edges.where("kind IS NOT NULL").select("pattern", "anchor", "entity", "kind", "n", F.lit(1.0).alias("w"))
+    rest = edges.where("kind IS NULL OR kind = 'secret'").select("pattern", "anchor", "entity", "fits", "n", F.col("kind").isNotNull().alias("seed"))
+    places = places.select(F.col("pattern").alias("__of"), "places")
+    # Of each pattern, the mentions that are no seeds and fit each kind.
+    bits = {k: 1 << n for n, k in enumerate(ALL_KINDS)}
+    open_of = edges.where("kind IS NULL").groupBy("pattern").agg(*[F.sum(F.when(F.col("fits").bitwiseAND(F.lit(b)) != 0, F.col("n")).otherwise(0)).alias(f"open_{k}") for k, b in bits.items()])
+    places = saved(places.join(open_of.withColumnRenamed("pattern", "__o"), F.col("__of") == F.col("__o"), "left").drop("__o"))
+    open_mentions = F.coalesce(*[F.when(F.col("kind") == k, F.coalesce(f"open_{k}", F.lit(0))) for k in ALL_KINDS])
+    scored = seeds.withColumn("known", F.lit(True))
     for turn in range(rounds):
-        of_kind = [F.count(F.when(F.col("kind") == k, True)).alias(k) for k in KINDS]
-        tally = scored.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("support"), *of_kind)
-        most = F.greatest(*KINDS)
-        kind = F.coalesce(*[F.when(F.col(k) == most, F.lit(k)) for k in KINDS])
-        trusted = tally.where((F.col("support") >= MIN_SUPPORT) & (F.col("support") / F.col("n") >= MIN_CONFIDENCE) & (most > 0))
-        trusted = trusted.select(F.concat("pattern", F.lit("")).alias("trusted"), kind.alias("as_kind"), (F.col("support") / F.col("n")).alias("confidence"), "n")
+        weight = F.col("w") * F.col("n")
+        tally = scored.groupBy("pattern", "anchor", "kind").agg(F.sum(weight).alias("hits"), F.sum(F.when(F.col("known"), 0.0).otherwise(weight)).alias("closed"), F.count(F.when(F.col("w") >= MIN_CONFIDENCE, True)).alias("support"))
+        trusted = tally.where(F.col("support") >= MIN_SUPPORT).join(places, F.col("pattern") == F.col("__of")).where(F.col("hits") >= MIN_SHARE * F.col("places"))
+        decided = F.greatest(F.col("places") - (open_mentions - F.col("closed")), F.col("hits"))
+        trusted = trusted.withColumn("confidence", F.col("hits") / decided).where(F.col("confidence") >= MIN_CONFIDENCE)
+        trusted = saved(trusted.select("pattern", "anchor", "kind", "confidence"))
+        known = trusted.select(F.col("pattern").alias("__p"), F.col("kind").alias("as"), "confidence")
+        met = rest.join(known, rest["pattern"] == known["__p"]).where(F.col("fits").bitwiseAND(_kind_bit(F.col("as"))) != 0)
+        # Patterns of one anchor say the same thing: the best of them counts.
+        by_anchor = met.groupBy("entity", "as", "anchor").agg(F.log(F.greatest(1 - F.max("confidence"), F.lit(1e-6))).alias("doubt"))
+        total = by_anchor.groupBy("entity", "as").agg(F.sum("doubt").alias("doubt"))
         if turn == rounds - 1:
-            return trusted.select(F.col("trusted").alias("pattern"), F.col("as_kind").alias("kind"), "confidence", "n")
-        trusted = saved(trusted)
-        right = edges.join(trusted, edges["pattern"] == trusted["trusted"])
-        chance = right.groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("chance"))
-        chance = chance.where(F.col("chance") >= MIN_CONFIDENCE).select(F.concat("instance", F.lit("")).alias("known"), "chance")
-        scored = edges.join(chance, edges["instance"] == chance["known"], "left").select("pattern", "instance", "kind", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.coalesce("chance", F.lit(0.0))).alias("score"))
+            chance = total.select("entity", F.col("as").alias("kind"), (1 - F.exp("doubt")).alias("chance")).where(F.col("chance") >= MIN_CONFIDENCE)
+            return trusted, saved(chance)
+        by_anchor = by_anchor.select(F.col("entity").alias("__e"), F.col("as").alias("__as"), F.col("anchor").alias("__a"), F.col("doubt").alias("own"))
+        total = saved(total.select(F.col("entity").alias("__t"), "as", "doubt"))
+        # Towards a pattern, without what its own anchor says.
+        toward = rest.where("NOT seed").join(total, rest["entity"] == total["__t"]).where(F.col("fits").bitwiseAND(_kind_bit(F.col("as"))) != 0)
+        toward = toward.join(by_anchor, (F.col("entity") == F.col("__e")) & (F.col("as") == F.col("__as")) & (F.col("anchor") == F.col("__a")), "left")
+        others = toward.select("pattern", "anchor", "entity", F.col("as").alias("kind"), "n", (1 - F.exp(F.col("doubt") - F.coalesce("own", F.lit(0.0)))).alias("w"))
+        scored = seeds.withColumn("known", F.lit(True)).unionByName(others.where("w > 0").withColumn("known", F.lit(False)))
     raise ValueError("rounds must be positive")
 
 
+def _edges(rows: DataFrame, kind, fit) -> DataFrame:
+    each = rows.withColumn("l", F.explode("links"))
+    return each.groupBy(F.col("l.pattern").alias("pattern"), F.col("l.anchor").alias("anchor"), "entity").agg(F.max(kind).alias("kind"), F.max(fit).alias("fits"), F.count("*").alias("n"))
+
+
+def bootstrap(rows: DataFrame, docs: DataFrame, text: str, key: str, readings: int = READINGS) -> DataFrame:
+    """(key, start, stop, kind) of what the contexts of the seeds in ``rows`` show in the texts of ``docs``; saved.
+
+    rows: ``key`` (a hash of the text) and seeds of every document. docs: ``key`` and ``text``.
+    """
+    spark = docs.sparkSession
+    seeds = rows.select(F.explode("seeds").alias("s")).select("s.*")
+    known = saved(_edges(seeds, F.col("kind"), F.lit((1 << len(ALL_KINDS)) - 1)))
+    # Equal texts are read as mentions once, but their places are counted in all of them.
+    copies = rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1").select(F.col(key).alias("__text"), "copies")
+    learnt = known.select("pattern", "entity", "kind")
+    found = accepted = trusted = asked = possible = None
+    seen = 0
+    for turn in range(readings):
+        candidates = learnt.groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT).select(F.col("pattern").alias("__c")).distinct()
+        # Places of a pattern are counted once.
+        fresh = saved(candidates if asked is None else candidates.join(asked, F.col("__c") == F.col("__asked"), "left_anti"))
+        sieve = Sieve(fresh, "__c")
+        if not sieve.empty or possible is None:
+            counted = count_places(docs, text, sieve).where(F.col("odd") >= MIN_CONFIDENCE * F.col("places"))
+            counted = counted.join(fresh, F.col("pattern") == F.col("__c"), "left_semi").select("pattern", "places")
+            possible = saved(counted if possible is None else counted.unionByName(possible))
+            asked = fresh.select(F.col("__c").alias("__asked")) if asked is None else asked.unionByName(fresh.select(F.col("__c").alias("__asked")))
+        heads = spark.createDataFrame([], "head bigint") if accepted is None else accepted.select("head").distinct()
+        read = saved(mentions(docs, text, key, Sieve(possible, "pattern"), Sieve(heads, "head")).distinct())
+        n = read.count()
+        if n == seen:  # nothing that was not there before
+            break
+        found, seen = read, n
+        many = found.where("NOT key").join(copies, F.col(key) == F.col("__text"), "left").select("entity", "fits", F.coalesce("copies", F.lit(1)).alias("copies"), F.explode("links").alias("l"))
+        new = many.groupBy(F.col("l.pattern").alias("pattern"), F.col("l.anchor").alias("anchor"), "entity").agg(F.lit(None).cast("string").alias("kind"), F.max("fits").alias("fits"), F.sum("copies").alias("n"))
+        edges = saved(known.unionByName(new).groupBy("pattern", "anchor", "entity").agg(F.max("kind").alias("kind"), F.max("fits").alias("fits"), F.sum("n").alias("n")))
+        trusted, chances = score_graph(edges, possible)
+        if turn == readings - 1:
+            accepted = chances
+            break
+        named = found.select("entity", "head").distinct().select(F.col("entity").alias("__found"), "head")
+        accepted = saved(chances.join(named, F.col("entity") == F.col("__found")).select("entity", "kind", "chance", "head"))
+        more = edges.where("kind IS NULL").join(accepted.select(F.col("entity").alias("__known"), F.col("kind").alias("as")).distinct(), F.col("entity") == F.col("__known"))
+        learnt = known.select("pattern", "entity", "kind").unionByName(more.select("pattern", "entity", F.col("as").alias("kind")))
+    if found is None:
+        return rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(SECRET).alias("kind")).where("false")
+    place = found.select(key, "start", "stop", "fits", F.explode("links.pattern").alias("pattern"))
+    by_place = place.join(trusted.select(F.col("pattern").alias("__p"), "kind", "confidence"), F.col("pattern") == F.col("__p")).select(key, "start", "stop", "fits", "kind", "confidence")
+    by_entity = found.join(accepted.select(F.col("entity").alias("__known"), "kind", F.col("chance").alias("confidence")).distinct(), F.col("entity") == F.col("__known")).select(key, "start", "stop", "fits", "kind", "confidence")
+    every = by_place.unionByName(by_entity).where(F.col("fits").bitwiseAND(_kind_bit(F.col("kind"))) != 0)
+    return saved(every.groupBy(key, "start", "stop").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind")))
+
+
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep``, base and spans: array<struct<kind, start, stop>> by kind as listed, then start."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "mentions", "spans")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "base", "seeds", "spans")]
     hashed = docs.withColumn("__hash", F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
-    rows = saved(extract(hashed, text, [*keep, "__hash"]).withColumn("__row", F.monotonically_increasing_id()))
-    mention = rows.select("__row", F.explode("mentions").alias("m")).select("__row", "m.*").withColumn("pattern", F.explode("patterns"))
-    edges = saved(mention.groupBy("pattern", F.col("surface").alias("instance")).agg(F.max("kind").alias("kind")))
-    accepted = saved(accepted_patterns(edges))
-    trusted = accepted.select(F.concat("pattern", F.lit("")).alias("trusted"), F.col("kind").alias("as_kind"), "confidence")
-    new = mention.where("kind IS NULL").select("__row", "start", "stop", "pattern")
-    new = new.join(trusted, new["pattern"] == trusted["trusted"]).groupBy("__row", "start", "stop").agg(F.max_by("as_kind", F.struct("confidence", "as_kind")).alias("kind"))
-    # The spans of one document: as many as it has room for.
-    added = new.groupBy("__row").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__added"))
-    # Whatever else stands in the same places, where patterns stay trusted with all of it counted.
-    others = saved(in_place(hashed, text, "__hash", accepted))
-    against = others.groupBy("pattern", "surface").agg(F.count("*").alias("c")).groupBy("pattern").agg(F.count("*").alias("more"))
-    whole = accepted.join(against, "pattern").withColumn("confidence", F.col("confidence") * F.col("n") / (F.col("n") + F.col("more")))
-    whole = whole.where(F.col("confidence") >= MIN_CONFIDENCE).select(F.concat("pattern", F.lit("")).alias("trusted"), F.col("kind").alias("as_kind"), "confidence")
-    odd = others.where("NOT plain").join(whole, F.col("pattern") == F.col("trusted")).groupBy("__hash", "start", "stop").agg(F.max_by("as_kind", F.struct("confidence", "as_kind")).alias("kind"))
-    odd = odd.groupBy("__hash").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__odd")).select(F.concat("__hash", F.lit("")).alias("__of"), "__odd")
+    rows = saved(extract(hashed, text, [*keep, "__hash"]))
+    added = bootstrap(rows, hashed.select("__hash", F.col(f"`{text}`").alias("__text")), "__text", "__hash")
+    # The spans of one text: as many as it has room for.
+    added = added.groupBy("__hash").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("__added")).select(F.concat("__hash", F.lit("")).alias("__of"), "__added")
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    rank = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(F.lit, range(len(KINDS)))))
-    every = F.concat("base", F.coalesce("__added", none), F.coalesce("__odd", none))
+    own = F.transform(F.filter("seeds", lambda s: s["sure"] & (s["kind"] == SECRET)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
+    rank = F.map_from_arrays(F.array(*map(F.lit, ALL_KINDS)), F.array(*map(F.lit, range(len(ALL_KINDS)))))
+    every = F.concat("base", F.filter(F.array_union(own, F.coalesce("__added", none)), lambda s: s["stop"] > s["start"]))
     ordered = F.array_sort(F.transform(every, lambda s: F.struct(F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     plain = F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return rows.join(added, "__row", "left").join(odd, F.col("__hash") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in keep], "base", plain.alias("spans"))
+    return rows.join(added, F.col("__hash") == F.col("__of"), "left").select(*[F.col(f"`{c}`") for c in keep], "base", plain.alias("spans"))
 
 
 def joined(spans: str):
