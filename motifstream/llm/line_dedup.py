@@ -1,18 +1,27 @@
-"""Line de-duplication: repeated runs of lines, found by a suffix array over line ids; later copies are deleted.
+"""Line de-duplication: a suffix array over line ids, its longest-common-prefix intervals, later copies deleted.
 
-Ranks of suffixes come from distributed prefix doubling: a place's rank over 2k lines is the rank, in sorted order, of
-its pair of ranks over k lines, at the place and k lines on. Only places whose run is repeated go on to the next
-round, so a round is as large as what still repeats. Places of one rank over k lines are the interval of suffixes whose
-longest common prefix is at least k. A repeated run counts if it has ``min_words`` words; every such run is covered by
-the shortest runs of that many words that start or end at its lines, and the interval of such a run (its length, and
-the ranks of the two overlapping powers of two in it) shows its first copy. Lines of later copies are deleted.
+Suffix array: ranks of the suffixes come from distributed prefix doubling. A place's rank over 2k lines is the rank, in
+sorted order, of its pair of ranks over k lines, at the place and k lines on. Only places whose lines are repeated go
+on to the next round; the others' order is settled. Places of one rank over k lines are an interval of the array whose
+longest common prefix is k lines at least.
+
+Intervals: from the longest step to the shortest, places that share a prefix are parted by the rank of what follows it,
+which gives the intervals of longer prefixes. The first place of an interval stays behind as the one that later steps
+may meet; the other places go on and have the prefix in common with an earlier place. The longest such prefix of a place
+is its repeated run; if it has ``min_words`` words, it is a later copy, and its lines are deleted. Lines of runs that
+overlap are merged into stretches before they become rows.
+
+Prefixes need not be longer than the longest of the shortest runs of ``min_words`` words that start at some line: a
+longer run is deleted by the runs that start inside it.
 
 Earlier means a smaller (key, hash of the text, line); a null key is the largest. All work is DataFrame functions;
 texts move only when they change. Lines are what line feeds separate; words are what white space separates.
 
 Results for odd input: a null text stays null and an empty one empty; equal rows are one document and are cleaned
-alike; a text may become empty; very long documents are handled line by line (one window over a document's repeated
-lines); a very frequent line or passage is aggregated before it is shuffled; an empty table gives an empty table.
+alike; a text may become empty; very long documents and long stretches of empty lines are handled line by line (one
+window over a document's repeated lines); a very frequent line or passage is aggregated before it is shuffled; an empty
+table gives an empty table; extra columns pass through, whatever their names (those that begin with two underscores and
+the counting column apart).
 """
 
 from __future__ import annotations
@@ -34,7 +43,7 @@ def _document(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _lines(rows: DataFrame) -> DataFrame:
     """(__key, __hash, line, id, words): id is null-free; two 64-bit hashes of the line."""
     each = rows.select("__key", "__hash", F.posexplode(F.split("__plain", "\n")).alias("line", "content"))
-    words = F.when(F.trim("content") == "", 0).otherwise(F.size(F.split(F.trim("content"), r"\s+")))
+    words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
     return each.select("__key", "__hash", "line", F.struct(F.xxhash64("content").alias("a"), F.xxhash64("content", F.lit(1)).alias("b")).alias("id"), words.alias("words"))
 
 
@@ -66,52 +75,81 @@ def doubled(level: DataFrame, step: int) -> DataFrame:
     return saved(_ranked(saved(pairs.select("__key", "__hash", "line", "r1", "r2")), ["r1", "r2"]).select("__key", "__hash", "line", "rank"))
 
 
-def shortest_runs(places: DataFrame, min_words: int) -> DataFrame:
-    """(__key, __hash, line, length) of the shortest runs of ``min_words`` words that start or end at each place and
-    have repeated lines only."""
+def longest_needed(places: DataFrame, min_words: int) -> int:
+    """Lines in the longest of the shortest runs of ``min_words`` words that start at a line and have repeated lines only."""
     document = Window.partitionBy("__key", "__hash")
     island = places.withColumn("__island", F.col("line") - F.row_number().over(document.orderBy("line")))
     stretch = Window.partitionBy("__key", "__hash", "__island")
     summed = island.withColumn("c", F.sum("words").over(stretch.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     summed = summed.withColumn("before", F.col("c") - F.col("words"))
+    # The first line at which the words from here on suffice: one more than those after which they do not.
     ahead = stretch.orderBy("before").rangeBetween(0, min_words - 1)
-    back = stretch.orderBy("c").rangeBetween(-(min_words - 1), 0)
-    both = summed.select("__key", "__hash", "line", "before", "c", F.max("line").over(ahead).alias("last"), F.max("c").over(ahead).alias("reach"), F.min("line").over(back).alias("first"), F.min("before").over(back).alias("base"))
-    forward = both.where(F.col("reach") - F.col("before") >= min_words).select("__key", "__hash", "line", (F.col("last") - F.col("line") + 1).alias("length"))
-    backward = both.where(F.col("c") - F.col("base") >= min_words).select("__key", "__hash", F.col("first").alias("line"), (F.col("line") - F.col("first") + 1).alias("length"))
-    return forward.where("length > 0").unionByName(backward.where("length > 0")).distinct()
-
-
-def deleted_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(__key, __hash, line) of every line that lies in a later copy; each once, saved."""
-    level = repeated_places(docs, key, text)
-    runs = saved(shortest_runs(level, min_words))
-    longest = runs.agg(F.max("length")).first()[0] or 0
-    named, step = [], 1
-    while step <= longest:
-        own = runs.where((F.col("length") >= step) & (F.col("length") < 2 * step))
-        start = level.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), F.col("rank").alias("r"))
-
-        def rank_at(rows: DataFrame, place, name: str) -> DataFrame:
-            rows = rows.withColumn("__at", place)
-            met = rows.join(start, rows["__key"].eqNullSafe(start["k"]) & (rows["__hash"] == start["h"]) & (rows["__at"] == start["l"]))
-            return met.withColumn(name, F.col("r")).drop("k", "h", "l", "r", "__at")
-
-        own = rank_at(rank_at(own, F.col("line"), "r1"), F.col("line") + F.col("length") - step, "r2")
-        named.append(own.select("__key", "__hash", "line", "length", "r1", "r2"))
-        if 2 * step <= longest:
-            level = doubled(level, step)
+    both = summed.select("line", "before", F.max("line").over(ahead).alias("last"), F.max("c").over(ahead).alias("reach"))
+    return both.where(F.col("reach") - F.col("before") >= min_words).agg(F.max(F.col("last") - F.col("line") + 1)).first()[0] or 0
+
+
+def suffix_ranks(places: DataFrame, longest: int) -> list[DataFrame]:
+    """(__key, __hash, line, rank) over 1, 2, 4.. lines, until ``longest`` lines are less than the next step or nothing
+    is repeated."""
+    levels, step = [places.select("__key", "__hash", "line", "rank")], 1
+    while 2 * step <= longest:
+        wider = doubled(levels[-1], step)
+        if wider.isEmpty():
+            break
+        levels.append(wider)
         step *= 2
-    if not named:
-        return runs.select("__key", "__hash", "line").limit(0)
-    every = named[0]
-    for more in named[1:]:
-        every = every.unionByName(more)
-    every = saved(every.withColumn("__place", F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__hash").alias("hash"), F.col("line").alias("line"))))
-    # Ranks of different lengths are told apart by the length.
-    first = every.groupBy("length", "r1", "r2").agg(F.count("*").alias("n"), F.min("__place").alias("__first")).where("n > 1").select(F.struct("length", "r1", "r2").alias("__run"), "__first")
-    later = every.withColumn("__own", F.struct("length", "r1", "r2")).join(first, F.col("__own") == F.col("__run")).where(F.col("__place") > F.col("__first"))
-    return saved(later.select("__key", "__hash", F.explode(F.sequence(F.col("line"), F.col("line") + F.col("length") - 1)).alias("line")).distinct())
+    return levels
+
+
+def common_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(__key, __hash, line, length) of each place that has lines in common with an earlier one: how many, twice the
+    widest step less one at most."""
+    place = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__hash").alias("hash"), F.col("line").alias("line"))
+    state = levels[-1].select("__key", "__hash", "line", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("of"), F.lit(False).alias("later"))
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        if k < len(levels) - 1:
+            # Places whose lines are not repeated over the step above come in.
+            wider = levels[k + 1].select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"))
+            fresh = levels[k].join(wider, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("line") == F.col("l")), "left_anti")
+            state = state.unionByName(fresh.select("__key", "__hash", "line", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("of"), F.lit(False).alias("later")))
+        there = levels[k].select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), "rank")
+        met = state.withColumn("__at", F.col("line") + F.col("length")).join(there, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("__at") == F.col("l")), "left")
+        met = saved(met.select("__key", "__hash", "line", "length", "of", "later", "rank", place.alias("__place")))
+        groups = met.where("rank IS NOT NULL").groupBy("of", "rank").agg(F.count("*").alias("n"), F.min("__place").alias("__first")).where("n > 1")
+        groups = groups.select(F.struct("of", "rank").alias("__interval"), "__first", (F.monotonically_increasing_id() * len(levels) + k + 1).alias("__new"))
+        groups = saved(groups)
+        split = met.withColumn("__own", F.struct("of", "rank")).join(groups, F.col("__own") == F.col("__interval"), "left")
+        inside, first = F.col("__new").isNotNull(), F.col("__place") == F.col("__first")
+        # A later place goes on with the longer prefix. The first one goes on as what others may meet, and stays behind too.
+        ways = F.when(inside & ~first, F.array(F.struct((F.col("length") + step).alias("length"), F.col("__new").alias("of"), F.lit(True).alias("later"))))
+        ways = ways.when(inside, F.array(F.struct((F.col("length") + step).alias("length"), F.col("__new").alias("of"), F.lit(False).alias("later")), F.struct("length", "of", "later")))
+        state = saved(split.select("__key", "__hash", "line", F.explode(F.coalesce(ways, F.array(F.struct("length", "of", "later")))).alias("w")).select("__key", "__hash", "line", "w.*"))
+    return state.where("later").groupBy("__key", "__hash", "line").agg(F.max("length").alias("length"))
+
+
+def deleted_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(__key, __hash, first, last) of the lines that lie in later copies; stretches of a document do not overlap. Saved."""
+    places = repeated_places(docs, key, text)
+    longest = longest_needed(places, min_words)
+    if not longest:
+        return places.select("__key", "__hash", F.col("line").alias("first"), F.col("line").alias("last")).where("false")
+    runs = common_prefixes(suffix_ranks(places, longest))
+    document = Window.partitionBy("__key", "__hash").orderBy("line")
+    # Lines of a run are repeated ones, so they stand next to each other among the places, and running sums count their words.
+    summed = places.select("__key", "__hash", "line", F.sum("words").over(document).alias("c"), "words")
+    at = summed.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), F.col("c").alias("through"))
+    start = summed.select(F.col("__key").alias("k2"), F.col("__hash").alias("h2"), F.col("line").alias("l2"), (F.col("c") - F.col("words")).alias("before"))
+    ends = runs.withColumn("last", F.col("line") + F.col("length") - 1)
+    ends = ends.join(at, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("last") == F.col("l")))
+    ends = ends.join(start, F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__hash") == F.col("h2")) & (F.col("line") == F.col("l2")))
+    copies = ends.where(F.col("through") - F.col("before") >= min_words).select("__key", "__hash", F.col("line").alias("first"), "last")
+    # Stretches: a run that begins after all before it have ended opens a new one.
+    order = Window.partitionBy("__key", "__hash").orderBy("first")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = copies.withColumn("opens", F.coalesce((F.col("first") > before).cast("int"), F.lit(1)))
+    numbered = opened.withColumn("stretch", F.sum("opens").over(order))
+    return saved(numbered.groupBy("__key", "__hash", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("stretch"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -121,7 +159,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
 
 def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, count: str | None) -> DataFrame:
     columns = docs.columns
-    gone = deleted_lines(docs, key, text, min_words)
+    gone = deleted_stretches(docs, key, text, min_words)
     of = F.struct(F.col("__key"), F.col("__hash"))
     changed = gone.select(F.col("__key"), F.col("__hash")).distinct()
     rows = only_repeated(_document(docs, key, text), of, bits_of(changed, of, FILTER_BITS), FILTER_BITS, "__changed")
@@ -132,7 +170,8 @@ def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, count: str |
     # Text of changed documents from their remaining lines.
     each = touched.select("__key", "__hash", "__plain").groupBy("__key", "__hash").agg(F.first("__plain").alias("__plain"))
     each = each.select("__key", "__hash", F.posexplode(F.split("__plain", "\n")).alias("line", "content"))
-    dead = gone.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), F.lit(1).alias("dead"))
+    # As many rows as lines go: stretches do not overlap.
+    dead = gone.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.explode(F.sequence("first", "last")).alias("l"), F.lit(1).alias("dead"))
     kept = each.join(dead, each["__key"].eqNullSafe(dead["k"]) & (each["__hash"] == dead["h"]) & (each["line"] == dead["l"]), "left")
     left = F.array_sort(F.collect_list(F.when(F.col("dead").isNull(), F.struct("line", "content"))))
     new = kept.groupBy("__key", "__hash").agg(F.array_join(F.transform(left, lambda x: x["content"]), "\n").alias("__new"), F.count("dead").alias("__gone"))

@@ -35,6 +35,12 @@ def op3_tiff(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tiff_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each page of the files that ``op3_tiff`` stores."""
+    pages = tiff.read_pages(tiff.store(_documents(spark, folder), keep=["doc_id"]).select("doc_id", "media"))
+    return pages.select("doc_id", "page", "width", "height", "channels", "bits", "compression", "predictor", "tiled", "error", F.sha2("samples", 256).alias("samples_sha256"))
+
+
 def op4_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(_documents(spark, folder), shards=8)
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_tiff": op3_tiff,
+    "tiff_pages": tiff_pages,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,

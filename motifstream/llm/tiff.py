@@ -31,10 +31,10 @@ NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 TYPES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 16: ("Q", 8), 17: ("q", 8)}
 CLEAR, STOP = 256, 257
 
-#: ``store``: bytes in a row, rows in a strip and in a page, so a page holds at most 1 MiB.
-ROW_BYTES, STRIP_ROWS, PAGE_ROWS = 64, 1024, 16384
-#: ``store``: texts of up to so many payload bytes take LZW, PackBits; larger ones deflate.
-LZW_BYTES, PACKBITS_BYTES = 128, 256
+#: ``store``: bytes in a row, rows in a strip and in a page, so a page holds at most 1 MiB; rows and columns of a tile.
+ROW_BYTES, STRIP_ROWS, PAGE_ROWS, TILE = 64, 1024, 16384, (64, 32)
+#: Decoded bytes for each byte of the file at most: no scheme here reaches it, and nothing larger is allocated.
+MOST_EXPANSION = 1 << 12
 
 
 class TiffError(ValueError):
@@ -60,109 +60,117 @@ def pack_bits(raw: bytes) -> bytes:
     """Runs of three or more equal bytes as runs, the rest as literals."""
     data = np.frombuffer(raw, np.uint8)
     edge = np.concatenate([[0], np.flatnonzero(data[1:] != data[:-1]) + 1, [len(data)]]) if len(data) else np.zeros(1, int)
-    out, literal = bytearray(), bytearray()
-
-    def flush() -> None:
-        for i in range(0, len(literal), 128):
-            part = literal[i : i + 128]
-            out.append(len(part) - 1)
-            out.extend(part)
-        literal.clear()
-
-    for a, b in zip(edge.tolist(), edge[1:].tolist()):
-        if b - a < 3:
-            literal.extend(raw[a:b])
-            continue
-        flush()
+    long = np.flatnonzero(np.diff(edge) >= 3)
+    out, done = bytearray(), 0
+
+    def literal(stop: int) -> None:
+        for i in range(done, stop, 128):
+            out.append(min(128, stop - i) - 1)
+            out.extend(raw[i : min(i + 128, stop)])
+
+    for a, b in zip(edge[long].tolist(), edge[long + 1].tolist()):
+        literal(a)
         while b - a >= 2:
             n = min(128, b - a)
             out.extend((257 - n, raw[a]))
             a += n
-        literal.extend(raw[a:b])
-    flush()
+        done = a  # a byte that is left goes with the next literal
+    literal(len(raw))
     return bytes(out)
 
 
+def _widths(n: int) -> np.ndarray:
+    """Bits of each of n codes after a clear code: wider from the code on before which the entry 511, 1023, 2047 came."""
+    entries = np.arange(n) + 258
+    return 9 + (entries >= 512).astype(np.int64) + (entries >= 1024) + (entries >= 2048)
+
+
+def _codes(data: np.ndarray, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the next n codes from bit ``at``, the bit after each); fewer at the end of the data."""
+    stops = at + np.cumsum(_widths(n))
+    stops = stops[stops <= 8 * len(data)]
+    width = np.diff(stops, prepend=at)
+    first = (stops - width) >> 3
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.uint32)
+    window = padded[first] << 16 | padded[first + 1] << 8 | padded[first + 2]
+    return (window >> (24 - (stops - width - 8 * first) - width).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32), stops
+
+
 def lzw_decode(raw: bytes, size: int) -> bytes:
-    table = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, have, held, bits, last = [], 0, 0, 9, b""
-    total = 0
-    for byte in raw:
-        held, have = (held << 8 | byte) & 0xFFFFFFFF, have + 8
-        if have < bits:
-            continue
-        have -= bits
-        code = held >> have & ((1 << bits) - 1)
-        if code == STOP:
+    """Codes are cut apart a table's life at a time: after a clear code their widths follow from their number."""
+    data, at, out, total = np.frombuffer(raw, np.uint8), 0, [], 0
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, last, width = single[:], b"", 9
+    fresh = True  # right after a clear code
+    while total < size:
+        if fresh:
+            codes, stops = _codes(data, at, 4096)
+        else:  # a table that stays full: its codes have 12 bits
+            n = max(0, min(4096, (8 * len(data) - at) // 12))
+            stops = at + 12 * np.arange(1, n + 1)
+            first = (stops - 12) >> 3
+            pair = np.append(data, np.zeros(2, np.uint8)).astype(np.uint32)
+            codes = ((pair[first] << 16 | pair[first + 1] << 8 | pair[first + 2]) >> (12 - (stops - 12 - 8 * first)).astype(np.uint32)) & 0xFFF
+        if not len(codes):
             break
-        if code == CLEAR:
-            del table[258:]
-            bits, last = 9, b""
+        ends = np.flatnonzero((codes == CLEAR) | (codes == STOP))
+        n = int(ends[0]) if len(ends) else len(codes)
+        for code in codes[:n].tolist():
+            if last == b"":
+                if code > 255:
+                    raise TiffError("LZW data start with an unknown code")
+                piece = single[code]
+            elif code < len(table):
+                piece = table[code]
+                if len(table) < 4096:
+                    table.append(last + piece[:1])
+            elif code == len(table):
+                piece = last + last[:1]
+                table.append(piece)
+            else:
+                raise TiffError("LZW data hold an unknown code")
+            out.append(piece)
+            total += len(piece)
+            last = piece
+            if total >= size:
+                break
+        if n == len(codes):
+            at, fresh = int(stops[-1]), False
             continue
-        if not last:
-            if code > 255:
-                raise TiffError("LZW data start with an unknown code")
-            piece = table[code]
-        elif code < len(table):
-            piece = table[code]
-            table.append(last + piece[:1])
-        elif code == len(table):
-            piece = last + last[:1]
-            table.append(piece)
-        else:
-            raise TiffError("LZW data hold an unknown code")
-        out.append(piece)
-        total += len(piece)
-        if total >= size:
+        if codes[n] == STOP:
             break
-        last = piece
-        if len(table) >= (1 << bits) - 1 and bits < 12:
-            bits += 1
+        at, fresh, table, last = int(stops[n]), True, single[:], b""
     return b"".join(out)
 
 
 def lzw_encode(raw: bytes) -> bytes:
-    table = {bytes([i]): i for i in range(256)}
-    held, have, bits, out = CLEAR, 9, 9, bytearray()
-    used, word = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal held, have
-        held, have = held << bits | code, have + bits
-        while have >= 8:
-            have -= 8
-            out.append(held >> have & 255)
-        held &= (1 << have) - 1
-
-    have = 9
-    while have >= 8:
-        have -= 8
-        out.append(held >> have & 255)
-    held &= (1 << have) - 1
-    for i in range(len(raw)):
-        longer = word + raw[i : i + 1]
-        if longer in table:
+    codes, lives, table, used = [], [], {}, 258  # lives: codes of each table, with the clear code that ends it
+    word, start = -1, 0
+    for byte in raw:
+        if word < 0:
+            word = byte
+            continue
+        key = word << 8 | byte
+        longer = table.get(key)
+        if longer is not None:
             word = longer
             continue
-        put(table[word])
-        table[longer] = used
+        codes.append(word)
+        table[key] = used
         used += 1
-        if used == (1 << bits) and bits < 12:  # the reader is one entry behind and widens one code early
-            bits += 1
-        elif used == 4094:
-            put(CLEAR)
-            table = {bytes([k]): k for k in range(256)}
-            used, bits = 258, 9
-        word = raw[i : i + 1]
-    if word:
-        put(table[word])
-        used += 1
-        if used == (1 << bits) and bits < 12:
-            bits += 1
-    put(STOP)
-    if have:
-        out.append(held << (8 - have) & 255)
-    return bytes(out)
+        word = byte
+        if used == 4094:
+            codes.append(CLEAR)
+            lives.append(len(codes) - start)
+            table, used, start = {}, 258, len(codes)
+    if word >= 0:
+        codes.append(word)
+    codes.append(STOP)
+    lives.append(len(codes) - start)
+    width = np.concatenate([[9], *(_widths(n) for n in lives)])
+    number = np.repeat(np.array([CLEAR, *codes], np.int64), width)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(width) - width, width)
+    return np.packbits((number >> (np.repeat(width, width) - 1 - place)).astype(np.uint8) & 1).tobytes()
 
 
 def decompress(raw: bytes, scheme: int, size: int) -> bytes:
@@ -214,26 +222,32 @@ def directories(file: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         raise TiffError("no TIFF header")
     big = kind == 43
     count, word, entry = ("Q", "Q", 20) if big else ("H", "I", 12)
-    try:
-        at, seen = struct.unpack_from(order + word, file, 8 if big else 4)[0], set()
-        while at and at not in seen:
-            seen.add(at)
-            n = struct.unpack_from(order + count, file, at)[0]
-            at += struct.calcsize(count)
-            tags = {}
-            for i in range(n):
-                tag, code, m = struct.unpack_from(order + "HH" + word, file, at + i * entry)
-                letter, size = TYPES.get(code, ("", 0))
-                if not letter:
-                    continue
-                place = at + i * entry + 4 + struct.calcsize(word)
-                if m * size > struct.calcsize(word):
-                    place = struct.unpack_from(order + word, file, place)[0]
-                tags[tag] = struct.unpack_from(f"{order}{m}{letter}", file, place)
-            yield order, tags
-            at = struct.unpack_from(order + word, file, at + n * entry)[0]
-    except struct.error as e:
-        raise TiffError(f"a directory lies outside the file: {e}") from e
+
+    def read(letter: str, at: int, n: int = 1) -> tuple:
+        if at < 0 or n < 0 or at + n * struct.calcsize(letter) > len(file):
+            raise TiffError(f"{n} values at {at} lie outside the file")
+        return struct.unpack_from(f"{order}{n}{letter}", file, at)
+
+    at, seen = read(word, 8 if big else 4)[0], set()
+    while at and at not in seen:
+        seen.add(at)
+        n = read(count, at)[0]
+        at += struct.calcsize(count)
+        if n * entry > len(file):
+            raise TiffError(f"a directory of {n} tags lies outside the file")
+        tags = {}
+        for i in range(n):
+            place = at + i * entry
+            (tag, code), (m,) = read("H", place, 2), read(word, place + 4)
+            letter, size = TYPES.get(code, ("", 0))
+            if not letter or not m:
+                continue
+            place += 4 + struct.calcsize(word)
+            if m * size > struct.calcsize(word):
+                place = read(word, place)[0]
+            tags[tag] = read(letter, place, m)
+        yield order, tags
+        at = read(word, at + n * entry)[0]
 
 
 def undo_predictor(rows: np.ndarray, predictor: int) -> np.ndarray:
@@ -272,7 +286,10 @@ def read_pages_of(file: bytes) -> Iterator[Page]:
             raise TiffError("a page has no samples")
         across, down, planes = -(-width // wide), -(-height // high), channels if planar == 2 else 1
         inner = channels // planes
-        if min(len(offsets), len(counts)) < across * down * planes:
+        most = len(file) * MOST_EXPANSION
+        if height * width * channels * dtype.itemsize > most or high * wide * inner * dtype.itemsize > most:
+            raise TiffError(f"{width} x {height} samples cannot come from a file of {len(file)} bytes")
+        if min(len(offsets), len(counts)) < across * down * planes or min(*offsets, *counts) < 0:
             raise TiffError("strips or tiles are missing")
         out = np.zeros((height, width, channels), dtype.newbyteorder("="))
         for k in range(across * down * planes):
@@ -346,13 +363,16 @@ def features(samples: np.ndarray) -> str:
 
 
 def store_bytes(text: bytes) -> bytes:
-    """The file of a text: padded with zero bytes to rows of 64, in pages of at most 1 MiB."""
+    """The file of a text: padded with zero bytes to rows of 64, in pages of at most 1 MiB.
+
+    Scheme, predictor and layout follow from the payload's checksum, whatever its length: PackBits, LZW or deflate; strips
+    or tiles; plain samples or horizontal differences.
+    """
     rows = max(1, -(-len(text) // ROW_BYTES))
     payload = np.zeros(rows * ROW_BYTES, np.uint8)
     payload[: len(text)] = np.frombuffer(text, np.uint8)
-    grid = payload.reshape(rows, ROW_BYTES)
-    scheme = LZW if len(payload) <= LZW_BYTES else PACKBITS if len(payload) <= PACKBITS_BYTES else DEFLATE
-    return write_file([grid[i : i + PAGE_ROWS] for i in range(0, rows, PAGE_ROWS)], scheme, 2 if scheme == LZW else 1)
+    grid, choice = payload.reshape(rows, ROW_BYTES), zlib.crc32(payload.tobytes())
+    return write_file([grid[i : i + PAGE_ROWS] for i in range(0, rows, PAGE_ROWS)], (PACKBITS, LZW, DEFLATE)[choice % 3], 1 + choice // 3 % 2, tile=TILE if choice // 6 % 2 else None)
 
 
 def store(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -390,7 +410,7 @@ def read_pages(files: DataFrame, media: str = "media", keep: list[str] | None =
                     rows.append((page.number, page.width, page.height, page.channels, page.bits, page.compression, page.predictor, page.tiled, page.samples.tobytes(), None))
                     index.append(i)
                     number = page.number + 1
-            except TiffError as e:
+            except (TiffError, ValueError, OverflowError, struct.error, zlib.error) as e:  # whatever a broken file leads to
                 rows.append((number, None, None, None, None, None, None, None, None, str(e)))
                 index.append(i)
         columns = list(zip(*rows)) if rows else [()] * 10

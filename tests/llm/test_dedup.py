@@ -214,6 +214,77 @@ def test_line_dedup(spark, tmp_path):
         want = cleaned(rows, words)
         result = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect())
         assert result == sorted((i is None, i or 0, want[i, t] if t is not None else "") for i, t in rows)
-    assert line_dedup.line_dedup(docs(spark, [])).count() == 0
+    assert line_dedup.line_dedup(docs(spark, [])).count() == 0 and line_dedup.cleaned_with_counts(docs(spark, [(1, None)])).first()["n_deleted"] == 0
     same = line_dedup.line_dedup(docs(spark, rows[:3]))
     assert same.columns == docs(spark, rows).columns
+
+
+def test_op6(spark, tmp_path):
+    """The query against brute force: passages of over 50 words that repeat across documents, exact copies, odd rows."""
+    rng = random.Random(18)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passages = [[line(rng.randrange(5, 30)) for _ in range(rng.randrange(3, 7))] for _ in range(6)] + [[line(60)], [line(20), "", "", line(20), "\t", line(11)]]
+    rows = []
+    for i in range(40):
+        text = []
+        for _ in range(rng.randrange(1, 5)):
+            text += [line(rng.randrange(1, 12)) for _ in range(rng.randrange(0, 4))]
+            one = rng.choice(passages)
+            text += one[rng.randrange(len(one)) :] if rng.random() < 0.4 else one
+        rows.append((i * 5, "\n".join(text)))
+    rows += [(900, rows[3][1]), (901, rows[3][1] + "\n" + rows[4][1]), (902, ""), (903, None), (3, rows[9][1]), (904, "\n" * 70), (905, "\n" * 90), (906, "\n".join(passages[6] * 40)), (15, rows[3][1])]
+    docs(spark, rows).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    want = cleaned(rows, line_dedup.MIN_WORDS)
+    expected = []
+    for i, t in rows:
+        new = want[i, t] if t is not None else ""
+        left = len(new.split("\n")) if new or (t and new == "" and t == "") else 0
+        lines = len((t or "").split("\n"))
+        expected.append((i, lines, hashlib.sha256(new.encode()).hexdigest()))
+    got = queries.op6_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["text_sha256"]) for r in got) == sorted(expected)
+    assert sum(r["n_deleted"] > 0 for r in got) > 20
+    texts = dict(zip([(i, t) for i, t in rows], expected))
+    for r in got:
+        kept = {e[2]: want[k] for k, e in texts.items() if k[1] is not None}.get(r["text_sha256"])
+        if kept:
+            assert r["n_lines"] - r["n_deleted"] == len(kept.split("\n"))
+
+
+def test_blank_lines_do_not_multiply_rows(spark):
+    """Two copies of 80 words with a hundred blank lines after each: runs overlap a lot, and stay intervals."""
+    text = "\n".join(f"word{i}" + "\n" * 100 for i in range(80))
+    rows = [(1, text), (2, text), (3, "x")]
+    gone = line_dedup.deleted_stretches(docs(spark, rows))
+    found = gone.collect()
+    assert [(r["__key"], r["first"], r["last"]) for r in found] == [(2, 0, text.count("\n"))]
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in line_dedup.cleaned_with_counts(docs(spark, rows)).collect()}
+    assert got == {1: (text, 0), 2: ("", text.count("\n") + 1), 3: ("x", 0)}
+
+
+def test_common_prefixes_by_brute_force(spark):
+    rng = random.Random(19)
+    rows = [(i, "\n".join(rng.choice("ab" if i % 2 else "abcde") for _ in range(rng.randrange(1, 16)))) for i in range(14)]
+    places = line_dedup.repeated_places(docs(spark, rows), "doc_id", "text")
+    levels = line_dedup.suffix_ranks(places, 16)
+    got = {(r["__key"], r["line"]): r["length"] for r in line_dedup.common_prefixes(levels).collect()}
+    lines = {i: t.split("\n") for i, t in rows}
+    places = [(i, k) for i, t in lines.items() for k in range(len(t))]
+
+    def common(a, b):
+        n = 0
+        while a[1] + n < len(lines[a[0]]) and b[1] + n < len(lines[b[0]]) and lines[a[0]][a[1] + n] == lines[b[0]][b[1] + n]:
+            n += 1
+        return n
+
+    most = 2 ** len(levels) - 1
+    want = {b: min(n, most) for k, b in enumerate(places) if (n := max([common(a, b) for a in places[:k]], default=0))}
+    assert got == want
+    # Ranks over each step are in the order of the lines' ranks: a suffix array.
+    one = {(r["__key"], r["line"]): r["rank"] for r in levels[0].collect()}
+    for k, level in enumerate(levels):
+        found = {(r["__key"], r["line"]): r["rank"] for r in level.collect()}
+        key = {p: tuple(one[p[0], p[1] + n] for n in range(2**k)) for p in found}
+        order = {x: n for n, x in enumerate(sorted(set(key.values())))}
+        by_rank = {x: n for n, x in enumerate(sorted(set(found.values())))}
+        assert all(order[key[p]] == by_rank[found[p]] for p in found)

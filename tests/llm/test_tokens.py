@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from motifstream.llm import bpe, packing, queries, sharding, tiff
@@ -133,6 +134,68 @@ def test_lzw_fixed_value():
     assert tiff.unpack_bits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x80, 0x00, 0x01]), 11)[:10] == bytes([0xAA] * 3 + [0x80, 0x00, 0x2A] + [0xAA] * 4)
 
 
+def plain_lzw(raw):
+    """The format's decoding rules, one code at a time."""
+    bits = "".join(f"{b:08b}" for b in raw)
+    at, width, out, table, last = 0, 9, b"", [], None
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [None, None], 9, None
+            continue
+        piece = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + piece[:1])
+        out, last = out + piece, piece
+        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+
+
+def test_lzw_of_all_widths():
+    rng = random.Random(5)
+    for n, kinds in ((0, 1), (1, 1), (300, 256), (700, 256), (3000, 256), (20_000, 256), (40_000, 4), (70_000, 1)):
+        raw = bytes(rng.randrange(kinds) for _ in range(n))
+        packed = tiff.lzw_encode(raw)
+        assert plain_lzw(packed) == raw and tiff.lzw_decode(packed, n)[:n] == raw
+        assert tiff.unpack_bits(tiff.pack_bits(raw), n) == raw
+    # 17 different two-letter words: 9-bit codes up to entry 510, 10 bits from then on.
+    first = [256, *range(255), 257]
+    packed = tiff.lzw_encode(bytes(range(255)))
+    bits = "".join(f"{c:09b}" if i < 255 else f"{c:010b}" for i, c in enumerate(first))
+    assert packed == int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_scheme_does_not_follow_from_length():
+    seen = {}
+    for n in (10, 100, 300, 2_000, 10_000):
+        for k in range(150):
+            page = next(tiff.read_pages_of(tiff.store_bytes(f"{k} ".encode() * (n // 2))))
+            seen.setdefault(n, set()).add((page.compression, page.predictor, page.tiled))
+    assert all(len(x) == 12 for x in seen.values())
+
+
+def test_broken_files_raise_tiff_errors(spark):
+    rng = random.Random(6)
+    whole = [tiff.write_file([np.arange(640, dtype=np.uint8).reshape(10, 64)] * 2, scheme, 2, 4, tile) for scheme in (tiff.LZW, tiff.PACKBITS, tiff.DEFLATE, tiff.NONE) for tile in (None, (16, 16))]
+    files = []
+    for k in range(600):
+        raw = bytearray(whole[k % len(whole)])
+        for _ in range(rng.randrange(1, 4)):
+            raw[rng.randrange(len(raw))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        files.append(bytes(raw[: rng.randrange(len(raw))] if k % 7 == 0 else raw))
+    big = struct.pack("<2sHHHQ", b"II", 43, 8, 0, 2**63 + 5)
+    tags = [(256, 4, 1, 2**31), (257, 4, 1, 2**31), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 8)]
+    huge = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    none = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", 1) + struct.pack("<HHII", 256, 4, 0, 0) + struct.pack("<I", 0)
+    many = b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", 1) + struct.pack("<HHII", 256, 4, 2**32 - 1, 0) + struct.pack("<I", 0)
+    files += [big, huge, none, many]
+    got = tiff.read_pages(spark.createDataFrame(list(enumerate(files)), "doc_id long, media binary").withColumn("error", F.lit("clash"))).collect()
+    errors = {r["doc_id"]: r["error"] for r in got if r["error"]}
+    assert {600, 601, 602, 603} <= set(errors) and len(errors) > 100
+    assert tiff.read_pages(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
+
+
 def test_float_predictor():
     values = np.arange(12, dtype="<f4").reshape(3, 4) / 7
     grouped = values.astype(">f4").view(np.uint8).reshape(3, 4, 4).transpose(0, 2, 1).reshape(3, 16)
@@ -155,7 +218,14 @@ def test_op3_and_pages(spark, tmp_path):
         payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         media = tiff.store_bytes(raw)
-        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest() and r["feature"].startswith(f"n={len(payload)};")
+        assert r["media_bytes"] == len(media) and r["media_sha256"] == hashlib.sha256(media).hexdigest()
+        steps = sum(abs(b - a) for i in range(0, len(payload), 64) for a, b in zip(payload[i : i + 63], payload[i + 1 : i + 64]))
+        bins = ",".join(str(sum(32 * k <= x < 32 * k + 32 for x in payload)) for k in range(8))
+        assert r["feature"] == f"n={len(payload)};sum={sum(payload)};squares={sum(x * x for x in payload)};steps={steps};bins={bins}"
+        assert b"".join(page.samples.tobytes() for page in tiff.read_pages_of(media)) == payload
+    want = {(i, k): hashlib.sha256(p.samples.tobytes()).hexdigest() for i, x in rows for k, p in enumerate(tiff.read_pages_of(tiff.store_bytes((x or "").encode())))}
+    assert {(r["doc_id"], r["page"]): r["samples_sha256"] for r in queries.tiff_pages(spark, str(tmp_path)).collect()} == want
+    assert tiff.store(docs(spark, [])).count() == 0
     files = tiff.store(docs(spark, rows), keep=["doc_id"]).select("doc_id", "media")
     broken = spark.createDataFrame([(1000, b"II*\0"), (1001, b""), (1002, None), (1003, tiff.write_file([np.zeros((4, 4), np.uint8)])[:-40])], "doc_id long, media binary")
     pages = tiff.read_pages(files.unionByName(broken)).collect()
