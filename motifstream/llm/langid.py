@@ -1,17 +1,20 @@
 """Language identification by interpolated Kneser-Ney character models, one for each language.
 
 A word is a sequence of characters between two end marks; a model gives each character and the closing mark a
-probability after up to ORDER - 1 characters of that word. All languages share one array of sorted n-gram hashes for
-each order; beside it stand, for each language, the log probability of the n-gram and the weight with which a context
-falls back to the shorter one (the interpolated estimates written in back-off form, which is exact). A text goes to the
-language of the lowest cross-entropy for each character. ``accepted`` says whether that is below the language's limit,
-the entropy that CALIBRATION of its calibration texts stay under.
+probability after up to ORDER - 1 characters of that word. A language keeps one sorted array of n-gram hashes for each
+order; beside it stand the log probability of the n-gram and the weight with which a context falls back to the shorter
+one (the interpolated estimates written in back-off form, which is exact). A text goes to the language of the lowest
+cross-entropy for each character. ``accepted`` says whether that is below the language's limit, the entropy that
+CALIBRATION of its calibration texts stay under.
 
-Training takes about PER_LANGUAGE texts of each language from the learning folds, chosen by hash, of at most
-MAX_TRAIN_BYTES each; every fifth one calibrates. Rows whose crc32(doc_id as text) mod 4 is 2 are held out.
+Every language of the learning folds is learnt, each in a task of its own, from about PER_LANGUAGE of its texts of at
+most MAX_TRAIN_BYTES, chosen by hash, or from its shortest text if all are longer; every fifth text calibrates. A model is
+thus bounded for each language, and the broadcast of all of them by the number of languages. Rows whose crc32(doc_id as
+text) mod 4 is 2 are held out.
 
 Results for odd input: a null text or one without a letter is ``und`` with score 0; a null doc_id counts as held out;
-without anything to learn from every text is ``und``; equal texts get equal results; an empty table gives an empty table.
+without anything to learn from every text is ``und``; a language without a word in its texts is not learnt; equal texts
+get equal results; an empty table gives an empty table; columns with the names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -19,20 +22,22 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import map_chunks, text_chunks
+from ._arrow import map_chunks, saved, text_chunks
 from .toxicity import held_out
 from .words import chunk_words, code_points, sum_by
 
 ORDER = 5
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 200
 MAX_TRAIN_BYTES = 32_768
 CALIBRATION = 0.995
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose entropies a worker keeps; a full cache is emptied.
+CACHE_WORDS = 200_000
 
 
 def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
@@ -57,41 +62,69 @@ def gram_hashes(code: np.ndarray) -> list[np.ndarray]:
 
 
 @dataclass
-class Model:
-    languages: list[str]
+class Language:
+    name: str
     hashes: list[np.ndarray]  # of each order, sorted
-    logp: list[np.ndarray]  # (n-grams, languages) float32, NaN where a language has not seen the n-gram
-    back: list[np.ndarray]  # (n-grams, languages) log weight of the shorter context; 0 where unseen
-    unseen: np.ndarray  # log probability of an unknown character
-    limits: np.ndarray
+    logp: list[np.ndarray]  # float32
+    back: list[np.ndarray]  # float32: log weight of the shorter context; 0 where the n-gram is no context
+    start_back: float  # the same for the opening mark
+    unseen: float  # log probability of an unknown character
+    limit: float = np.inf
+
+
+class Model:
+    def __init__(self, languages: list[Language]):
+        self.languages = languages
+        self.limits = np.array([x.limit for x in languages])
+        self.known: dict[bytes, int] = {}
+        self.nats = np.empty((0, len(languages)), np.int64)
+        self.size = np.empty(0, np.int64)
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages}  # without the cache
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(state["languages"])
 
     def entropies(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(nats of each word in each language, characters of each word with its closing mark)."""
+        if len(self.known) > CACHE_WORDS:
+            self.__init__(self.languages)
+        new = [w for w in words if w not in self.known]
+        if new:
+            nats, size = self._entropies(new)
+            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.nats, self.size = np.concatenate([self.nats, nats]), np.concatenate([self.size, size])
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.nats[at], self.size[at]
+
+    def _entropies(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         code = code_points(words)
         grams, count = gram_hashes(code), len(self.languages)
-        best = np.broadcast_to(self.unseen.astype(np.float32), (len(code), count)).copy()
-        context = None
-        for n, (table, logp, back) in enumerate(zip(self.hashes, self.logp, self.back), 1):
-            at = np.searchsorted(table, grams[n - 1])
-            at[at == len(table)] = 0
-            known = (table[at] == grams[n - 1]) if len(table) else np.zeros(len(code), bool)
-            valid = grams[n - 1] != 0
-            if n > 1:
-                best[1:][valid[1:]] += context[:-1][valid[1:]]
-            value = logp[at[known]]
-            best[known] = np.where(np.isnan(value), best[known], value)
-            context = np.zeros((len(code), count), np.float32)
-            context[known] = back[at[known]]
-            if n == 1:
-                # The opening mark is a context but never a character of its own here.
-                mark = np.flatnonzero(code == 10)[:1]
-                context[mark] = self.start_back
-        brk = np.flatnonzero(code == 10)
-        splits = brk + 1
+        best = np.tile(np.array([x.unseen for x in self.languages], np.float32), (len(code), 1))
+        context = np.zeros((len(code), count), np.float32)
+        mark = np.flatnonzero(code == 10)
+        for n, places in enumerate(grams):
+            valid = np.flatnonzero(places)
+            # Each different n-gram is looked up once, in order.
+            different, of = np.unique(places[valid], return_inverse=True)
+            if n:
+                best[valid] += context[valid - 1]
+            wider = np.zeros((len(code), count), np.float32)
+            for k, x in enumerate(self.languages):
+                table = x.hashes[n]
+                at = np.minimum(np.searchsorted(table, different), max(len(table) - 1, 0))
+                known = table[at] == different if len(table) else np.zeros(len(different), bool)
+                place = valid[known[of]]
+                row = at[of[known[of]]]
+                best[place, k] = x.logp[n][row]
+                wider[place, k] = x.back[n][row]
+            context = wider
+            if n == 0:
+                # A word's closing mark is the next word's opening one, which is a context of its own.
+                context[mark] = np.array([x.start_back for x in self.languages], np.float32)
         nats = np.round(-best[1:].astype(np.float64) * 2**24).astype(np.int64)  # whole numbers: sums in any order agree
-        return sum_by(nats, splits - 1), np.diff(splits)
-
-    start_back: np.ndarray = None  # type: ignore[assignment]
+        return sum_by(nats, mark), np.diff(mark + 1)
 
 
 def _estimate(code: np.ndarray, discount: float = 0.75) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -156,30 +189,25 @@ def _words(texts: list[str]) -> list[bytes]:
     return out
 
 
+def train_language(name: str, texts: list[str]) -> Language | None:
+    """The model of one language; None if its texts hold no word."""
+    learn = [t for i, t in enumerate(texts) if i % 5 or len(texts) < 5]
+    words = _words(learn)
+    if not words:
+        return None
+    parts = _estimate(code_points(words))
+    grams = parts[:ORDER]
+    found = Language(name, [p[0] for p in grams], [p[1].astype(np.float32) for p in grams], [p[2].astype(np.float32) for p in grams], float(parts[ORDER][1][0]), float(parts[ORDER][0][0]))
+    held, model = [t for i, t in enumerate(texts) if not (i % 5 or len(texts) < 5)] or texts, Model([found])
+    scores = [score_texts(model, [t])[0][0, 0] for t in held[:200]]
+    found.limit = float(np.quantile([v for v in scores if np.isfinite(v)] or [np.inf], CALIBRATION))
+    return found
+
+
 def train(texts: list[str], languages: list[str]) -> Model:
     names = sorted(set(languages))
-    by = {x: [t for t, l in zip(texts, languages) if l == x] for x in names}
-    learn = {x: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for x, v in by.items()}
-    words = {x: _words(v) for x, v in learn.items()}
-    names = [x for x in names if words[x]]
-    parts = [_estimate(code_points(words[x])) for x in names]
-    hashes, logp, back = [], [], []
-    for n in range(ORDER):
-        every = np.unique(np.concatenate([p[n][0] for p in parts])) if parts else np.empty(0, np.uint64)
-        value, weight = np.full((len(every), len(names)), np.nan, np.float32), np.zeros((len(every), len(names)), np.float32)
-        for k, p in enumerate(parts):
-            at = np.searchsorted(every, p[n][0])
-            value[at, k], weight[at, k] = p[n][1], p[n][2]
-        hashes.append(every)
-        logp.append(value)
-        back.append(weight)
-    model = Model(names, hashes, logp, back, np.array([p[ORDER][0][0] for p in parts]), np.zeros(len(names)))
-    model.start_back = np.array([p[ORDER][1][0] for p in parts], np.float32)
-    for k, x in enumerate(names):
-        held = [t for i, t in enumerate(by[x]) if not (i % 5 or len(by[x]) < 5)] or by[x]
-        found = [score_texts(model, [t])[0][0, k] for t in held[:200]]
-        model.limits[k] = np.quantile([v for v in found if np.isfinite(v)] or [np.inf], CALIBRATION)
-    return model
+    models = [train_language(x, [t for t, l in zip(texts, languages) if l == x]) for x in names]
+    return Model([x for x in models if x is not None])
 
 
 def score_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,31 +226,45 @@ def score_chunk(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
         return np.where(n[:, None] > 0, total / n[:, None], np.inf), n
 
 
-def training_sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> tuple[list[str], list[str]]:
-    """About ``per_language`` texts of each of the MAX_LANGUAGES most frequent languages, chosen by hash."""
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
+def training_sample(docs: DataFrame, key: str, text: str, lang: str, per_language: int) -> DataFrame:
+    """(__lang, __key, __text): about ``per_language`` texts of each language, chosen by hash."""
+    rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"), F.col(f"`{lang}`").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & ~held_out(F.col("__key")) & F.col("__text").isNotNull())
-    counts = rows.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return [], []
-    place = F.pmod(F.xxhash64("__key", F.lit(9)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("__lang") == r["__lang"]) & (place < int(min(1.0, per_language / r["n"]) * 1_000_000) + 1))
-    found = rows.where(chosen & (F.octet_length("__text") <= MAX_TRAIN_BYTES)).limit(2 * per_language * len(counts)).collect()
-    found.sort(key=lambda r: (r["__key"], r["__lang"], r["__text"]))
-    return [r["__text"] for r in found], [r["__lang"] for r in found]
+    short = F.octet_length("__text") <= MAX_TRAIN_BYTES
+    size = F.struct(F.octet_length("__text").alias("bytes"), F.xxhash64("__key").alias("key"))
+    # One row for each language, of known size before it is joined.
+    counts = saved(rows.groupBy("__lang").agg(F.count(F.when(short, True)).alias("n"), F.min(size).alias("least")).withColumnRenamed("__lang", "__of"))
+    place = F.pmod(F.xxhash64("__key", F.lit(9)), F.lit(1_000_000)) / 1_000_000
+    chosen = F.when(F.col("n") > 0, short & (place * F.col("n") < per_language)).otherwise(size == F.col("least"))
+    return rows.join(counts, F.col("__lang") == F.col("__of")).where(chosen).select("__lang", "__key", "__text")
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    return train(*training_sample(docs, key, text, lang, per_language))
+    """Languages are trained side by side in the cluster; their models, of bounded size each, come to the driver."""
+    schema = "name string, n int, hashes binary, logp binary, back binary, start_back double, unseen double, edge double"
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__key", "__text"])
+        found = train_language(rows["__lang"].iloc[0], rows["__text"].tolist())
+        made = [] if found is None else [(found.name, n, *(x[n].tobytes() for x in (found.hashes, found.logp, found.back)), found.start_back, found.unseen, found.limit) for n in range(ORDER)]
+        return pd.DataFrame(made, columns=["name", "n", "hashes", "logp", "back", "start_back", "unseen", "edge"])
+
+    parts: dict[str, list] = {}
+    for r in training_sample(docs, key, text, lang, per_language).groupBy("__lang").applyInPandas(one, schema).collect():
+        parts.setdefault(r["name"], []).append(r)
+    models = []
+    for name in sorted(parts):
+        by = sorted(parts[name], key=lambda r: r["n"])
+        arrays = [[np.frombuffer(r[c], kind) for r in by] for c, kind in (("hashes", np.uint64), ("logp", np.float32), ("back", np.float32))]
+        models.append(Language(name, *arrays, by[0]["start_back"], by[0]["unseen"], by[0]["edge"]))
+    return Model(models)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all but ``text`` and clashing ones), lang_pred, score, entropy (nats for each character), accepted."""
     own = {"lang_pred", "score", "entropy", "accepted"}
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c not in own]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample's n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a bounded size for each language
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
         model = shared.value
@@ -234,7 +276,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         best = per.argmin(1)
         low = per[np.arange(rows), best]
         odds = np.exp(-(per - low[:, None]) * np.minimum(n, 100)[:, None]).sum(1)
-        names = np.array([*model.languages, "und"], object)
+        names = np.array([*[x.name for x in model.languages], "und"], object)
         return [pa.array(names[np.where(n > 0, best, -1)], pa.string()), pa.array(np.where(n > 0, 1 / odds, 0)), pa.array(low, mask=n == 0), pa.array((n > 0) & (low <= model.limits[best]))]
 
     plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
