@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .operators import matching, pruning, relations, results, tails
 from .plans.pattern import Pattern
-from .plans.planner import plan
+from .plans.planner import Size, plan
 from .plans.sqltext import batch_sql, match_sql
-from .plans.symmetry import automorphisms
+from .plans.symmetry import automorphisms, edge_orbits
 from .sources import tables
 from .sources.textgraph import batches
 from .sources.tables import CUSTOMER, ORDER, PART, SUPPLIER
@@ -79,8 +79,8 @@ _SQL = {
 def _with(graph: str) -> str:
     """WITH v, e, adj of a graph."""
     v, e = _SQL[graph]
-    return f"""with v as ({v}), e as ({e}), one as (select e.src, e.dst, e.label as el, a.label as sl, b.label as dl, e.batch from e join v a on a.id = e.src join v b on b.id = e.dst),
-        adj as (select * from one union all select dst, src, el, dl, sl, batch from one)"""
+    return f"""with v as materialized ({v}), e as materialized ({e}), one as materialized (select e.src, e.dst, e.label as el, a.label as sl, b.label as dl, e.batch from e join v a on a.id = e.src join v b on b.id = e.dst),
+        adj as materialized (select * from one union all select dst, src, el, dl, sl, batch from one)"""
 
 
 def _matches(graph: str, pattern: Pattern) -> str:
@@ -160,31 +160,47 @@ _add("seed_edges", lambda s, d: pruning.seed_edges(tables.trade(s, d), TRIANGLE)
 
 
 # ---------------------------------------------------------------- whole matches and increments
+_SIZES: dict[tuple, Size] = {}
+
+
+def sizes(spark: SparkSession, folder: str, graph: str, pattern: Pattern) -> dict[tuple[int, int], Size]:
+    """Statistics of the pattern's relations, gathered once for each folder and relation."""
+    key = lambda d: (folder, graph, pattern.triple(*d))
+    if any(key(d) not in _SIZES for d in pattern.directed()):
+        _SIZES.update((key(d), size) for d, size in relations.sizes_for_planning(GRAPHS[graph](spark, folder), pattern).items())
+    return {d: _SIZES[key(d)] for d in pattern.directed()}
+
+
 def _rows(graph: str, pattern: Pattern) -> Query:
-    return lambda s, d: matching.full(GRAPHS[graph](s, d), pattern)
+    return lambda s, d: matching.full(GRAPHS[graph](s, d), pattern, plan(pattern, None, sizes(s, d, graph, pattern)))
 
 
 def _counts(graph: str, pattern: Pattern) -> Query:
-    return lambda s, d: matching.count_by_batch(GRAPHS[graph](s, d), pattern)
+    return lambda s, d: matching.count_by_batch(GRAPHS[graph](s, d), pattern, sizes=sizes(s, d, graph, pattern))
 
 
 def _delta(graph: str, pattern: Pattern) -> Query:
-    return lambda s, d: matching.count_by_batch(GRAPHS[graph](s, d), pattern).where("batch > 0")
+    return lambda s, d: matching.count_by_batch(GRAPHS[graph](s, d), pattern, sizes=sizes(s, d, graph, pattern), initial=False)
 
 
-for _name, _graph, _pattern in (("path3", "trade", PATH3), ("triangle", "trade", TRIANGLE), ("cycle4", "trade", CYCLE4), ("star3", "trade", STAR3), ("tailed_triangle", "trade", TAILED), ("basket_triangle", "basket", BASKET_012)):
+def _deltas(graph: str, pattern: Pattern) -> Query:
+    return lambda s, d: matching.deltas(GRAPHS[graph](s, d), pattern, sizes=sizes(s, d, graph, pattern))
+
+
+for _name, _graph, _pattern in (("path3", "trade", PATH3), ("triangle", "trade", TRIANGLE), ("cycle4", "trade", CYCLE4), ("star3", "trade", STAR3), ("tailed_triangle", "trade", TAILED), ("diamond", "trade", DIAMOND), ("basket_triangle", "basket", BASKET_012), ("clique4", "basket", CLIQUE4)):
     _add(f"match_{_name}", _rows(_graph, _pattern), f"{_matches(_graph, _pattern)} select {_ids(_pattern)}, batch from m")
-for _name, _graph, _pattern in (("path4", "trade", PATH4), ("diamond", "trade", DIAMOND), ("clique4", "basket", CLIQUE4)):
-    _add(f"match_{_name}", _counts(_graph, _pattern), f"{_matches(_graph, _pattern)} select batch, count(*) as n from m group by 1")
+#: Its embeddings are too many to hand out; they are counted.
+_add("match_path4", _counts("trade", PATH4), f"{_matches('trade', PATH4)} select batch, count(*) as n from m group by 1")
 SHAPES = {"path3": ("trade", PATH3), "path4": ("trade", PATH4), "triangle": ("trade", TRIANGLE), "cycle4": ("trade", CYCLE4), "diamond": ("trade", DIAMOND), "clique4": ("basket", CLIQUE4), "star3": ("trade", STAR3), "tailed_triangle": ("trade", TAILED), "basket_triangle": ("basket", BASKET_012), "basket_triangle_000": ("basket", BASKET_000), "visit_path3": ("visits", VISIT_PATH3)}
 for _name, (_graph, _pattern) in SHAPES.items():
     _add(f"delta_{_name}_by_batch", _delta(_graph, _pattern), f"{_matches(_graph, _pattern)} select batch, count(*) as n from m where batch > 0 group by 1")
 _add("delta_single_edge", _delta("trade", SINGLE), f"{_matches('trade', SINGLE)} select batch, count(*) as n from m where batch > 0 group by 1")
 _add("delta_single_edge_symmetric", _delta("basket", BASKET_EDGE), f"{_matches('basket', BASKET_EDGE)} select batch, count(*) as n from m where batch > 0 group by 1")
-_add("delta_star_center_low", lambda s, d: matching.count_by_batch(tables.trade(s, d), STAR3, plan(STAR3, (0, 1))).where("batch > 0"), f"{_matches('trade', STAR3)} select batch, count(*) as n from m where batch > 0 group by 1")
+_add("delta_star_center_low", lambda s, d: matching.count_by_batch(tables.trade(s, d), STAR3, plan(STAR3, (0, 1), sizes(s, d, "trade", STAR3)), initial=False), f"{_matches('trade', STAR3)} select batch, count(*) as n from m where batch > 0 group by 1")
 
-_add("delta_rows_triangle", lambda s, d: matching.deltas(tables.trade(s, d), TRIANGLE).drop("seed_edge"), f"{_matches('trade', TRIANGLE)} select batch, {_ids(TRIANGLE)} from m where batch > 0")
-_add("delta_rows_csv", lambda s, d: results.text_rows(matching.deltas(tables.trade(s, d), TAILED), TAILED), f"{_matches('trade', TAILED)} select batch, concat_ws(',', {_ids(TAILED)}) as embedding from m where batch > 0")
+_add("delta_rows_triangle", lambda s, d: _deltas("trade", TRIANGLE)(s, d).drop("seed_edge"), f"{_matches('trade', TRIANGLE)} select batch, {_ids(TRIANGLE)} from m where batch > 0")
+_add("delta_rows_csv", lambda s, d: results.text_rows(_deltas("trade", TAILED)(s, d), TAILED), f"{_matches('trade', TAILED)} select batch, concat_ws(',', {_ids(TAILED)}) as embedding from m where batch > 0")
+_add("delta_union_triangle", lambda s, d: matching.since_start(tables.trade(s, d), TRIANGLE, sizes(s, d, "trade", TRIANGLE)), f"{_matches('trade', TRIANGLE)} select {_ids(TRIANGLE)}, batch from m where batch > 0")
 
 
 def _seed_sql(pattern: Pattern) -> str:
@@ -194,40 +210,69 @@ def _seed_sql(pattern: Pattern) -> str:
 
 
 for _name, _graph, _pattern in (("", "basket", BASKET_000), ("_trade", "trade", TRIANGLE)):
-    _add(f"delta_seed_attribution{_name}", lambda s, d, g=_graph, p=_pattern: matching.deltas(GRAPHS[g](s, d), p).groupBy("batch", "seed_edge").agg(F.count("*").alias("n")), f"{_matches(_graph, _pattern)} select batch, cast({_seed_sql(_pattern)} as int) as seed_edge, count(*) as n from m where batch > 0 group by 1, 2")
+    _add(f"delta_seed_attribution{_name}", lambda s, d, q=_deltas(_graph, _pattern): q(s, d).groupBy("batch", "seed_edge").agg(F.count("*").alias("n")), f"{_matches(_graph, _pattern)} select batch, cast({_seed_sql(_pattern)} as int) as seed_edge, count(*) as n from m where batch > 0 group by 1, 2")
 
 #: The batch of the queries that answer one batch alone.
 ONE = 10
-_add("delta_telescoped_one_batch", lambda s, d: matching.telescoped(tables.trade(s, d), TRIANGLE, ONE).drop("seed_edge"), f"{_matches('trade', TRIANGLE)} select {_ids(TRIANGLE)} from m where batch = {ONE}")
-_add("delta_canonical_one_batch", lambda s, d: matching.canonical(tables.basket(s, d), BASKET_000, ONE), f"{_matches('basket', BASKET_000)} select {_ids(BASKET_000)}, cast({_seed_sql(BASKET_000)} as int) as seed_edge from m where batch = {ONE}")
-_add("orbit_weighted_count", lambda s, d: matching.canonical(tables.basket(s, d), BASKET_000, ONE, orbits=True).agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("n")), f"{_matches('basket', BASKET_000)} select count(*) as n from m where batch = {ONE}")
-_add("delta_pruned_cycle4", lambda s, d: matching.count_by_batch(pruning.PrunedGraph(tables.trade(s, d), CYCLE4), CYCLE4).where("batch > 0"), f"{_matches('trade', CYCLE4)} select batch, count(*) as n from m where batch > 0 group by 1")
-_add("distinct_subgraphs", lambda s, d: matching.count_by_batch(tables.basket(s, d), BASKET_000).select("batch", (F.col("n") / len(automorphisms(BASKET_000))).cast("long").alias("n")), f"{_matches('basket', BASKET_000)} select batch, cast(count(*) / 6 as bigint) as n from m group by 1")
+_add("delta_telescoped_one_batch", lambda s, d: matching.telescoped(tables.trade(s, d), TRIANGLE, ONE, sizes(s, d, "trade", TRIANGLE)).drop("seed_edge"), f"{_matches('trade', TRIANGLE)} select {_ids(TRIANGLE)} from m where batch = {ONE}")
+_add("delta_canonical_one_batch", lambda s, d: matching.canonical(tables.basket(s, d), BASKET_000, ONE, sizes(s, d, "basket", BASKET_000)).drop("batch"), f"{_matches('basket', BASKET_000)} select {_ids(BASKET_000)}, cast({_seed_sql(BASKET_000)} as int) as seed_edge from m where batch = {ONE}")
+_add("orbit_weighted_count", lambda s, d: matching.canonical(tables.basket(s, d), BASKET_000, None, sizes(s, d, "basket", BASKET_000), orbits=True).groupBy("batch").agg(F.sum("weight").alias("n")), f"{_matches('basket', BASKET_000)} select batch, count(*) as n from m where batch > 0 group by 1")
+_add("delta_pruned_cycle4", lambda s, d: matching.count_by_batch(pruning.PrunedGraph(tables.trade(s, d), CYCLE4), CYCLE4, plan(CYCLE4, None, sizes(s, d, "trade", CYCLE4)), initial=False), f"{_matches('trade', CYCLE4)} select batch, count(*) as n from m where batch > 0 group by 1")
+_add("distinct_subgraphs", lambda s, d: matching.count_by_batch(tables.basket(s, d), BASKET_000, sizes=sizes(s, d, "basket", BASKET_000)).select("batch", (F.col("n") / len(automorphisms(BASKET_000))).cast("long").alias("n")), f"{_matches('basket', BASKET_000)} select batch, cast(count(*) / 6 as bigint) as n from m group by 1")
 
 # ---------------------------------------------------------------- tails, identities, plans, streams
-_add("tail_leaf_cardinality", lambda s, d: tails.tail_cardinality(tables.trade(s, d), TAILED, plan(TAILED, (0, 1))), f"{_with('trade')}, t as (select {_ids(TRIANGLE)} from ({match_sql(TRIANGLE)}) q) select t.*, (select count(*) from adj where src = m0 and sl = {ORDER} and el = 3 and dl = {CUSTOMER}) as n from t")
-_add("tail_leaf_expand", lambda s, d: matching.full(tables.trade(s, d), TWO_LEAVES, plan(TWO_LEAVES, (0, 1))), f"{_matches('trade', TWO_LEAVES)} select {_ids(TWO_LEAVES)}, batch from m")
-_add("tail_leaf_count_factorised", lambda s, d: tails.count_factorised(tables.trade(s, d), TAILED), f"{_matches('trade', TAILED)} select count(*) as n from m")
+_add("tail_leaf_cardinality", lambda s, d: tails.tail_cardinality(tables.trade(s, d), TAILED, plan(TAILED, (0, 1), sizes(s, d, "trade", TAILED), leaves_last=True)), f"{_with('trade')}, t as (select {_ids(TRIANGLE)} from ({match_sql(TRIANGLE)}) q) select t.*, (select count(*) from adj where src = m0 and sl = {ORDER} and el = 3 and dl = {CUSTOMER}) as n from t")
+_add("tail_leaf_expand", lambda s, d: matching.full(tables.trade(s, d), TWO_LEAVES, plan(TWO_LEAVES, (0, 1), sizes(s, d, "trade", TWO_LEAVES), leaves_last=True)), f"{_matches('trade', TWO_LEAVES)} select {_ids(TWO_LEAVES)}, batch from m")
+_add("tail_leaf_count_factorised", lambda s, d: tails.count_factorised(tables.trade(s, d), TAILED, plan(TAILED, None, sizes(s, d, "trade", TAILED), leaves_last=True)), f"{_matches('trade', TAILED)} select count(*) as n from m")
 
 
 def _identity(spark: SparkSession, folder: str) -> DataFrame:
     """Sum of the batches' increments, and the matches after less those before."""
     graph = tables.trade(spark, folder)
     after, before = (matching.full(g, TRIANGLE, keep="none").agg(F.count("*").alias("n")) for g in (graph, graph.upto(0)))
-    total = matching.count_by_batch(graph, TRIANGLE).where("batch > 0").agg(F.sum("n").alias("total"))
+    total = matching.count_by_batch(graph, TRIANGLE, sizes=sizes(spark, folder, "trade", TRIANGLE), initial=False).agg(F.sum("n").alias("total"))
     return total.crossJoin(after.withColumnRenamed("n", "after")).crossJoin(before.withColumnRenamed("n", "before")).select("total", (F.col("after") - F.col("before")).alias("difference"))  # one row each
 
 
 _add("delta_total_vs_difference", _identity, f"{_matches('trade', TRIANGLE)} select count(*) filter (batch > 0) as total, count(*) - count(*) filter (batch = 0) as difference from m")
 
 
+#: Shapes whose plans are shown, with the orders that are expected of the test tables: a seed edge, then the neighbours by
+#: which each further vertex is reached.
+_PLANS = {"triangle": TRIANGLE, "cycle4": CYCLE4, "tailed_triangle": TAILED}
+
+
+_ORDERS = {
+    "triangle": [(0, 2), ("extend", 1, (0, 2))],
+    "cycle4": [(0, 1), ("extend", 3, (0,)), ("extend", 2, (1, 3))],
+    "tailed_triangle": [(0, 3), ("extend", 2, (0,)), ("extend", 1, (0, 2))],
+}
+
+
 def _explain(spark: SparkSession, folder: str) -> DataFrame:
-    graph = tables.trade(spark, folder)
-    lines = [(name, i, line) for name in ("triangle", "cycle4", "tailed_triangle") for i, line in enumerate(plan(SHAPES[name][1], degrees=relations.degrees_for_planning(graph, SHAPES[name][1])).explain().splitlines())]
+    lines = [(name, i, line) for name, p in _PLANS.items() for i, line in enumerate(plan(p, None, sizes(spark, folder, "trade", p)).explain().splitlines())]
     return spark.createDataFrame(lines, "shape string, line int, text string")
 
 
-_add("plan_explain", _explain)
+def _explain_sql() -> str:
+    """The statistics by SQL, in the lines of fixed orders: of the sf0.01 tables."""
+    parts = []
+    for name, p in _PLANS.items():
+        order = _ORDERS[name]
+        size = lambda u, w, p=p: f"(select count(*) || ' rows, ' || count(distinct src) || ' sources' from adj where sl={p.triple(u, w)[0]} and el={p.triple(u, w)[1]} and dl={p.triple(u, w)[2]})"
+        (u, w), *steps = order
+        lines = [f"'seed {u}-{w} (' || {size(u, w)} || ')'"]
+        bound = [u, w]
+        for kind, v, by in steps:
+            differ = p.must_differ(v, bound)
+            lines.append(f"'{kind} {v} from ' || " + " || ', ' || ".join(f"'{b} (' || {size(b, v)} || ')'" for b in by) + (f" || ', differs from {differ}'" if differ else ""))
+            bound.append(v)
+        lines.append(f"'automorphisms {len(automorphisms(p))}, edge orbits {edge_orbits(p)}'")
+        parts += [f"select '{name}' as shape, cast({i} as int) as line, {x} as text" for i, x in enumerate(lines)]
+    return f"{_with('trade')} " + " union all ".join(parts)
+
+
+_add("plan_explain", _explain, _explain_sql())
 
 
 def _streamed(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,12 +294,16 @@ def _streamed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share."""
+    """The folder that all executors share; a temporary one only where all runs on one machine and none is named."""
     import os
     import tempfile
 
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else os.path.join(tempfile.gettempdir(), f"shared-{os.getpid()}")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), f"shared-{os.getpid()}")
 
 
 _add("stream_equals_batch", _streamed, f"{_matches('trade', TRIANGLE)} select cast(dense_rank() over (order by batch) as int) as batch, n from (select batch, count(*) as n from m where batch > 0 group by 1) q")

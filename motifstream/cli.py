@@ -41,11 +41,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     pattern = load_pattern(args.query)
     graph = textgraph.load(spark, args.data, args.update, args.batch_size, pattern)
     phase("load")
-    order = plan(pattern, degrees=relations.degrees_for_planning(graph, pattern))
+    sizes = relations.sizes_for_planning(graph, pattern)
+    order = plan(pattern, sizes=sizes)
     phase("plan")
     if args.explain:
         print(order.explain())
-    found = matching.deltas(graph, pattern, order)
+    found = matching.deltas(graph, pattern, sizes=sizes)
     if args.print_results:
         found = found.cache()
     total = found.count()

@@ -1,7 +1,8 @@
 """Embeddings of a pattern: all of them, or those that a batch of new edges brings.
 
-Three strategies give the same rows. ``full``: match the whole graph once; an embedding belongs to the latest batch of
-its edges, so one run answers all batches. ``telescoped``: for one batch, a union over pattern edges i of old edges
+Four strategies give the same rows. ``full``: match the whole graph once; an embedding belongs to the latest batch of
+its edges, so one run answers all batches. ``since_start``: all batches again, grown from the edges after the initial
+graph; ``deltas`` and ``count_by_batch`` take it where statistics say that it makes fewer rows. ``telescoped``: for one batch, a union over pattern edges i of old edges
 before i, new ones at i, all after i; each embedding comes once by construction. ``canonical``: grow from every new
 edge over all edges and keep an embedding only at its smallest new edge.
 
@@ -15,12 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import edge_key, seed_edge
+from ..functions.columns import edge_key, latest, seed_edge
 from ..plans.pattern import Pattern
-from ..plans.planner import Plan, plan
+from ..plans.planner import Plan, by_union, plan
 from ..plans.symmetry import breaking
 from ..sources.graph import Graph
 
@@ -82,22 +83,46 @@ def full(graph: Graph, pattern: Pattern, order: Plan | None = None, keep: str =
     return rows.select(*_columns(pattern), *more)
 
 
-def count_by_batch(graph: Graph, pattern: Pattern, order: Plan | None = None) -> DataFrame:
-    """(batch, n) of all embeddings, 0 being the initial graph.
+def since_start(graph: Graph, pattern: Pattern, sizes=None, keep: str = "latest", less: list[tuple[int, int]] = ()) -> DataFrame:
+    """Every embedding that some batch brought, with columns as ``full`` has them.
+
+    A union over pattern edges i: edges before i of the initial graph, i of a later batch, edges after i of any. Rows
+    start from what is new, so a large graph with few insertions is not matched as a whole.
+    """
+    parts = []
+    for i, (u, w, _) in enumerate(pattern.edges):
+        order = plan(pattern, (u, w), sizes)
+
+        def relation(a: int, b: int, at: int = i) -> DataFrame:
+            k, edges = pattern.edge_index(a, b), graph.relation(pattern.triple(a, b))
+            return edges.where("batch = 0") if k < at else edges.where("batch > 0") if k == at else edges
+
+        rows = grow(seeds(pattern, relation, u, w, keep, less), pattern, order.steps, relation, [u, w], keep, less)
+        more = {"latest": ["batch"], "each": [f"b{k}" for k in range(len(pattern.edges))], "none": []}[keep]
+        parts.append(rows.select(*_columns(pattern), *more))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def count_by_batch(graph: Graph, pattern: Pattern, order: Plan | None = None, sizes=None, initial: bool = True) -> DataFrame:
+    """(batch, n) of all embeddings, 0 being the initial graph; without that batch unless ``initial``.
 
     One embedding of each set of symmetric ones is matched; they share their edges and so their batch.
     """
     from ..plans.symmetry import automorphisms
 
-    rows = full(graph, pattern, order, "latest", breaking(pattern))
+    if not initial and order is None and sizes is not None and by_union(pattern, sizes):
+        rows = since_start(graph, pattern, sizes, "latest", breaking(pattern))
+    else:
+        rows = full(graph, pattern, order or plan(pattern, None, sizes), "latest", breaking(pattern))
+        rows = rows if initial else rows.where("batch > 0")
     return rows.groupBy("batch").agg((F.count("*") * len(automorphisms(pattern))).cast("long").alias("n"))
 
 
-def telescoped(graph: Graph, pattern: Pattern, batch: int, degrees=None) -> DataFrame:
+def telescoped(graph: Graph, pattern: Pattern, batch: int, sizes=None) -> DataFrame:
     """(m0.., seed_edge) of the embeddings that ``batch`` brings; seed_edge is the first pattern edge on a new edge."""
     parts = []
     for i, (u, w, _) in enumerate(pattern.edges):
-        order = plan(pattern, (u, w), degrees)
+        order = plan(pattern, (u, w), sizes)
 
         def relation(a: int, b: int, at: int = i) -> DataFrame:
             k, edges = pattern.edge_index(a, b), graph.relation(pattern.triple(a, b))
@@ -109,33 +134,39 @@ def telescoped(graph: Graph, pattern: Pattern, batch: int, degrees=None) -> Data
     return reduce(DataFrame.unionByName, parts)
 
 
-def canonical(graph: Graph, pattern: Pattern, batch: int, degrees=None, orbits: bool = False) -> DataFrame:
-    """(m0.., seed_edge[, weight]) of the embeddings that ``batch`` brings, each at its smallest new edge.
+def canonical(graph: Graph, pattern: Pattern, batch: int | None = None, sizes=None, orbits: bool = False) -> DataFrame:
+    """(batch, m0.., seed_edge[, weight]) of the embeddings that ``batch`` brings (or that each batch after the initial
+    graph does), each at its smallest new edge.
 
     With ``orbits`` only one pattern edge of each orbit is grown, and weight is the size of the orbit: sums of weights
     are numbers of embeddings.
     """
     from ..plans.symmetry import edge_orbits
 
-    relation: Relation = lambda a, b: graph.relation(pattern.triple(a, b)).where(F.col("batch") <= batch)
+    def relation(a: int, b: int) -> DataFrame:
+        edges = graph.relation(pattern.triple(a, b))
+        return edges if batch is None else edges.where(F.col("batch") <= batch)
+
     weight = {o[0]: len(o) for o in edge_orbits(pattern)} if orbits else {i: 1 for i in range(len(pattern.edges))}
     parts = []
     for i, size in weight.items():
         u, w, _ = pattern.edges[i]
-        order = plan(pattern, (u, w), degrees)
-        rows = seeds(pattern, relation, u, w, "each").where(F.col(f"b{i}") == batch)
+        order, now = plan(pattern, (u, w), sizes), F.col(f"b{i}")
+        rows = seeds(pattern, relation, u, w, "each").where(now > 0 if batch is None else now == batch)
         rows = grow(rows, pattern, order.steps, relation, [u, w], "each")
         seed = edge_key(F.col(f"m{u}"), F.col(f"m{w}"))
         for k, (a, b, _) in enumerate(pattern.edges):
             if k != i:
-                rows = rows.where((F.col(f"b{k}") < batch) | (edge_key(F.col(f"m{a}"), F.col(f"m{b}")) >= seed))
-        parts.append(rows.select(*_columns(pattern), F.lit(i).alias("seed_edge"), *([F.lit(size).alias("weight")] if orbits else [])))
+                rows = rows.where((F.col(f"b{k}") < now) | ((F.col(f"b{k}") == now) & (edge_key(F.col(f"m{a}"), F.col(f"m{b}")) >= seed)))
+        parts.append(rows.select(now.alias("batch"), *_columns(pattern), F.lit(i).alias("seed_edge"), *([F.lit(size).alias("weight")] if orbits else [])))
     return reduce(DataFrame.unionByName, parts)
 
 
-def deltas(graph: Graph, pattern: Pattern, order: Plan | None = None) -> DataFrame:
+def deltas(graph: Graph, pattern: Pattern, order: Plan | None = None, sizes=None) -> DataFrame:
     """(batch, seed_edge, m0..) of the embeddings of every batch after the initial graph."""
-    rows = full(graph, pattern, order, "each")
-    batch: Column = F.greatest(*[F.col(f"b{i}") for i in range(len(pattern.edges))]) if len(pattern.edges) > 1 else F.col("b0")
-    rows = rows.withColumn("batch", batch).where("batch > 0")
+    if order is None and sizes is not None and by_union(pattern, sizes):
+        rows = since_start(graph, pattern, sizes, "each")
+    else:
+        rows = full(graph, pattern, order or plan(pattern, None, sizes), "each")
+    rows = rows.withColumn("batch", latest([f"b{i}" for i in range(len(pattern.edges))])).where("batch > 0")
     return rows.select("batch", seed_edge(pattern, F.col("batch")).alias("seed_edge"), *_columns(pattern))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
+from ..plans.planner import Size
 from ..sources.graph import Graph
 
 
@@ -23,21 +24,31 @@ def relation_sizes(graph: Graph, pattern: Pattern) -> DataFrame:
 
 
 def statistics(graph: Graph, pattern: Pattern) -> DataFrame:
-    """(qe, cardinality, sources, average_degree). Equal label triples are counted once."""
-    triples: dict = {}
-    for i, (u, w) in enumerate(pattern.directed()):
-        triples.setdefault(pattern.triple(u, w), []).append(i)
-    parts = []
-    for triple, uses in triples.items():
-        by_source = graph.relation(triple).groupBy("src").agg(F.count("*").alias("d"))
-        total = by_source.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("cardinality"), F.count("*").alias("sources"))
-        parts.append(total.select(F.explode(F.array(*map(F.lit, uses))).alias("qe"), "cardinality", "sources", F.coalesce(F.col("cardinality") / F.nullif(F.col("sources"), F.lit(0)), F.lit(0.0)).alias("average_degree")))
-    return reduce(DataFrame.unionByName, parts)
+    """(qe, cardinality, sources, new): new counts the rows after the initial graph.
 
-
-def degrees_for_planning(graph: Graph, pattern: Pattern) -> dict[tuple[int, int], float]:
-    """Average degrees along directed edges, for ``plan``; two rows for each edge of the pattern come to the driver."""
-    rows = {r["qe"]: r["average_degree"] for r in statistics(graph, pattern).collect()}
+    Each relation is read once, for both of its directions: its rows are counted by end, then the ends.
+    """
+    uses: dict = {}
+    for i, (u, w) in enumerate(pattern.directed()):
+        uses.setdefault(pattern.triple(u, w), []).append(i)
+    parts, numbers = [], {t: k for k, t in enumerate(uses)}
+    for (source, label, target), k in numbers.items():
+        back = numbers[target, label, source]
+        if back < k:
+            continue  # read with the other direction
+        ends = [F.struct(F.lit(k).alias("t"), F.col("src").alias("v"))]
+        if back != k:
+            ends.append(F.struct(F.lit(back).alias("t"), F.col("dst").alias("v")))
+        parts.append(graph.relation((source, label, target)).select((F.col("batch") > 0).alias("late"), F.explode(F.array(*ends)).alias("e")))
+    rows = reduce(DataFrame.unionByName, parts).groupBy("e.t", "e.v").agg(F.count("*").alias("d"), F.count(F.when(F.col("late"), True)).alias("late"))
+    total = rows.groupBy("t").agg(F.sum("d").alias("cardinality"), F.count("*").alias("sources"), F.sum("late").alias("new"))
+    edges = graph.vertices.sparkSession.createDataFrame([(i, numbers[t]) for t, many in uses.items() for i in many], "qe int, __t int")
+    return edges.join(total, F.col("__t") == F.col("t"), "left").select("qe", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cardinality", "sources", "new")])
+
+
+def sizes_for_planning(graph: Graph, pattern: Pattern) -> dict[tuple[int, int], Size]:
+    """Sizes along directed edges, for ``plan``; two rows for each edge of the pattern come to the driver."""
+    rows = {r["qe"]: Size(r["cardinality"], r["sources"], r["new"]) for r in statistics(graph, pattern).collect()}
     return {d: rows[i] for i, d in enumerate(pattern.directed())}
 
 

@@ -20,7 +20,7 @@ def core(graph: Graph, pattern: Pattern, order: Plan) -> DataFrame:
 
 def tail_cardinality(graph: Graph, pattern: Pattern, order: Plan | None = None) -> DataFrame:
     """Core embeddings and n: the product of the leaves' numbers of neighbours, before images are asked to differ."""
-    order = order or plan(pattern)
+    order = order or plan(pattern, leaves_last=True)
     rows = core(graph, pattern, order).withColumn("n", F.lit(1).cast("long"))
     for step in order.steps[order.tail - 2 :]:
         by = step.backward[0]
@@ -32,7 +32,7 @@ def tail_cardinality(graph: Graph, pattern: Pattern, order: Plan | None = None)
 def count_factorised(graph: Graph, pattern: Pattern, order: Plan | None = None) -> DataFrame:
     """One row n: the number of embeddings. Leaves are multiplied, not expanded, where their label is no other
     vertex's; the rest are matched."""
-    order = order or plan(pattern)
+    order = order or plan(pattern, leaves_last=True)
     tail = [s.vertex for s in order.steps[order.tail - 2 :]]
     lone = [v for v in tail if not pattern.must_differ(v, range(len(pattern.labels)))]
     relation = lambda a, b: graph.relation(pattern.triple(a, b))

@@ -1,13 +1,15 @@
 """Small graphs with counts that can be checked by hand, then random ones against the plain enumerator."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from motifstream import cli
 from motifstream.operators import matching, pruning, relations, results, tails
 from motifstream.plans.pattern import Pattern
-from motifstream.plans.planner import plan
+from motifstream.plans.planner import Size, plan
 from motifstream.sources import textgraph
 from motifstream.sources.graph import Graph, clean_edges
 from motifstream.streaming.incremental import IncrementalMatcher
@@ -84,11 +86,16 @@ def test_strategies_agree_with_the_enumerator(spark, seed):
     pattern, labels, initial, batches = random_case(seed)
     expected = increments(pattern, labels, initial, batches)
     g, ids = graph_of(spark, labels, initial, batches), [f"m{v}" for v in range(len(pattern.labels))]
-    degrees = relations.degrees_for_planning(g, pattern)
-    every = matching.deltas(g, pattern, plan(pattern, degrees=degrees)).collect()
+    sizes = relations.sizes_for_planning(g, pattern)
+    every = matching.deltas(g, pattern, plan(pattern, None, sizes)).collect()
+    grown = matching.since_start(g, pattern, sizes).collect()
+    assert sorted((r["batch"], *[r[c] for c in ids]) for r in grown) == sorted((r["batch"], *[r[c] for c in ids]) for r in every)
+    few = {d: Size(10**6, 1000, 1) for d in pattern.directed()}  # statistics that ask for the union
+    assert sorted(matching.deltas(g, pattern, sizes=few).collect()) == sorted(every)
+    assert by_batch_counts(matching.count_by_batch(g, pattern, sizes=few, initial=False), len(expected)) == [len(x) for x in expected]
     for k, want in enumerate(expected, 1):
         assert {tuple(r[c] for c in ids) for r in every if r["batch"] == k} == want
-        tele = [tuple(r[c] for c in ids) for r in matching.telescoped(g, pattern, k, degrees).collect()]
+        tele = [tuple(r[c] for c in ids) for r in matching.telescoped(g, pattern, k, sizes).collect()]
         assert sorted(tele) == sorted(want)
         canon = matching.canonical(g, pattern, k).collect()
         assert sorted(tuple(r[c] for c in ids) for r in canon) == sorted(want)
@@ -160,12 +167,32 @@ def test_stream_equals_batch(spark, tmp_path):
     pattern, labels, initial, batches = random_case(0)
     schema = "src long, dst long, label int"
     vertices = spark.createDataFrame(list(labels.items()), "id long, label int")
-    matcher = IncrementalMatcher(spark, vertices, pattern, str(tmp_path / "state"))
+    matcher = IncrementalMatcher(spark, vertices, pattern, str(tmp_path / "state"), buckets=4)
     matcher.start(spark.createDataFrame(initial, schema))
     for k, part in enumerate(batches, 1):
-        matcher.insert(spark.createDataFrame(part, schema), k)
+        if k == 2:
+            matcher.compact(1)
+            assert sorted(matcher._folders()) == ["upto1"]
+        matcher.insert(spark.createDataFrame([*part, *initial[:2], (3, 3, 0), (0, 99, 0)], schema), k)
     matcher.insert(spark.createDataFrame(batches[-1], schema), len(batches))  # as after a failure
     got = {k: set() for k in range(1, len(batches) + 1)}
     for r in matcher.matches().collect():
         got[r["batch"]].add(tuple(r[f"m{v}"] for v in range(3)))
     assert list(got.values()) == increments(pattern, labels, initial, batches)
+
+
+def test_a_batch_reads_only_the_buckets_of_its_edges(spark, tmp_path):
+    """A star of paths: one new edge, whose ends lie in two buckets of 16."""
+    pattern = Pattern.of([0, 1, 0], [(0, 1), (1, 2)])
+    vertices = spark.createDataFrame([(i, i % 2) for i in range(200)], "id long, label int")
+    matcher = IncrementalMatcher(spark, vertices, pattern, str(tmp_path / "state"), buckets=16)
+    matcher.start(spark.createDataFrame([(2 * i, 2 * i + 1, 0) for i in range(100)], "src long, dst long, label int"))
+    matcher.insert(spark.createDataFrame([(0, 51, 0)], "src long, dst long, label int"), 1)
+    assert {tuple(r)[:3] for r in matcher.matches().collect()} == {(0, 51, 50), (50, 51, 0)}
+    near = matcher._distinct(matcher.halves(1, 1), F.col("bucket"))
+    assert 1 <= len(near) <= 2
+    held = {int(re.search(r"bucket=(\d+)", r[0])[1]) for r in matcher.halves(0, 1, near).select(F.input_file_name()).distinct().collect()}
+    assert held <= set(near)
+    # Five scans: the batch's own edges once for each pattern edge, and the others' three folders, pruned to those buckets.
+    plan_text = matcher.new_matches(1)._jdf.queryExecution().executedPlan().toString()
+    assert plan_text.count("FileScan") == 5 and plan_text.count("PartitionFilters: [bucket") == 3

@@ -1,9 +1,11 @@
+from itertools import permutations
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from motifstream.plans.pattern import Pattern, PatternError, parse_pattern
-from motifstream.plans.planner import plan
+from motifstream.plans.planner import Size, by_union, plan
 from motifstream.plans.symmetry import automorphisms, breaking, edge_orbits
 from tests.brute import embeddings
 
@@ -57,20 +59,51 @@ def test_breaking_keeps_one_of_each_set_of_twins(pattern, data):
 @given(patterns(), st.data())
 def test_plans_bind_every_vertex_next_to_a_bound_one(pattern, data):
     u, w, _ = data.draw(st.sampled_from(pattern.edges))
-    degrees = {d: data.draw(st.floats(0, 1e6)) for d in pattern.directed()}
-    made = plan(pattern, (u, w), degrees)
-    assert sorted(made.order) == list(range(len(pattern.labels)))
+    sizes = {d: Size(data.draw(st.integers(0, 10**9)), data.draw(st.integers(0, 10**6))) for d in pattern.directed()}
+    made = plan(pattern, (u, w), sizes)
+    assert sorted(made.order) == list(range(len(pattern.labels))) and made.seed == (u, w)
     for i, step in enumerate(made.steps, 2):
         assert set(step.backward) == set(made.order[:i]) & set(pattern.neighbours(step.vertex))
-        assert [made.degrees[b, step.vertex] for b in step.backward] == sorted(made.degrees[b, step.vertex] for b in step.backward)
     assert 2 <= made.tail <= len(pattern.labels)
     assert all(len(pattern.neighbours(v)) == 1 for v in made.order[made.tail :])
     assert "seed" in made.explain()
 
 
-def test_order_prefers_vertices_with_more_bound_neighbours():
+def cost_of(pattern, sizes, order):
+    """Rows that the joins of an order make, by the same estimate written out."""
+    images = {v: max(1.0, *(sizes[v, x].sources for x in pattern.neighbours(v))) for v in range(len(pattern.labels))}
+    fan = lambda b, v: max(sizes[b, v].rows, 0.5) / images[b]
+    rows = cost = max(sizes[order[0], order[1]].rows, 0.5)
+    for i, v in enumerate(order[2:], 2):
+        by = sorted(fan(b, v) for b in order[:i] if b in pattern.neighbours(v))
+        if not by:
+            return None
+        for nth, f in enumerate(by):
+            rows *= f if nth == 0 else f / images[v]
+            cost += rows
+    return cost
+
+
+@settings(max_examples=60, deadline=None)
+@given(patterns(), st.data())
+def test_no_order_is_estimated_cheaper(pattern, data):
+    rows = {e[:2]: data.draw(st.integers(1, 10**5)) for e in pattern.edges}
+    sizes = {(u, w): Size(rows[min(u, w), max(u, w)], data.draw(st.integers(1, 1000))) for u, w in pattern.directed()}
+    made = plan(pattern, None, sizes)
+    every = [c for p in permutations(range(len(pattern.labels))) if p[:2] in sizes and (c := cost_of(pattern, sizes, p)) is not None]
+    assert made.cost == pytest.approx(cost_of(pattern, sizes, made.order), rel=1e-6) and made.cost <= min(every) * (1 + 1e-6)
+
+
+def test_orders():
     tailed = Pattern.of([0, 0, 0, 0], [(0, 1), (0, 2), (1, 2), (0, 3)])
     assert plan(tailed, (0, 1)).order == (0, 1, 2, 3) and plan(tailed, (0, 1)).tail == 3
-    # A vertex reached only through a relation that is a thousand times larger waits.
+    # The vertex that is reached through the larger relation waits.
     chain = Pattern.of([0, 1, 2, 3], [(0, 1), (0, 2), (1, 3)])
-    assert plan(chain, (0, 1), {(0, 2): 5000.0, (1, 3): 1.0, (0, 1): 1.0, (1, 0): 1.0}).order == (0, 1, 3, 2)
+    size = {d: Size(100, 100) for d in chain.directed()} | {(0, 2): Size(500_000, 100)}
+    assert plan(chain, (0, 1), size).order == (0, 1, 3, 2)
+    assert [v for v in plan(chain, (0, 1), size | {(1, 3): Size(1, 100)}, leaves_last=True).order] == [0, 1, 3, 2]
+    path = Pattern.of([0, 1, 2, 3], [(0, 1), (1, 2), (2, 3)])
+    assert plan(path, (1, 0), leaves_last=True).order == (1, 0, 2, 3) and plan(path, None, leaves_last=True).tail == 2
+    # Few insertions into a large graph are grown from; many are not.
+    assert by_union(chain, {d: Size(10**6, 1000, 10) for d in chain.directed()})
+    assert not by_union(chain, {d: Size(10**6, 1000, 10**6) for d in chain.directed()})
