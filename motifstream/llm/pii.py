@@ -6,8 +6,8 @@ are seeds of a fifth kind, ``secret``; such a token alone is no span, unless it
 The words around a seed are its lexical patterns: L (two words before), P (one word before), R (two words after). A
 pattern's anchor is its word next to the seed and must hold a letter. The bootstrap goes in readings of all texts:
 
-1. Patterns around at least ``MIN_SUPPORT`` different known entities of one kind are candidates. All their places in
-   the corpus are counted, whatever stands there. A pattern of which fewer than ``MIN_CONFIDENCE`` of the places hold
+1. Patterns around at least ``MIN_SUPPORT`` different known entities of one kind, and not too many of others, are
+   candidates. All their places in the corpus are counted, whatever stands there. A pattern of which fewer than ``MIN_CONFIDENCE`` of the places hold
    anything but a plain word can never be trusted, and is left out.
 2. What stands in the places of the others, plain words apart, makes a graph of patterns and entities that Spark scores
    in ``ROUNDS`` rounds. A mention speaks for a pattern and a kind by its weight: 1 for a seed of the kind, the
@@ -532,6 +532,24 @@ def _edges(rows: DataFrame, kind, fit) -> DataFrame:
     return each.groupBy(F.col("l.pattern").alias("pattern"), F.col("l.anchor").alias("anchor"), "entity").agg(F.max(kind).alias("kind"), F.max(fit).alias("fits"), F.count("*").alias("n"))
 
 
+def candidate_patterns(learnt: DataFrame) -> DataFrame:
+    """(__c) of the patterns that may come to be trusted, going by known entities alone.
+
+    learnt: (pattern, kind, n, seed), one row for each known entity. Of some kind a pattern needs enough entities; and since
+    seeds of other kinds always speak against it, their mentions bound its confidence.
+    """
+    of = {k: F.col("kind") == k for k in ALL_KINDS}
+    tally = learnt.groupBy("pattern").agg(
+        *[F.count(F.when(x, True)).alias(f"support_{k}") for k, x in of.items()],
+        *[F.sum(F.when(x, F.col("n")).otherwise(0)).alias(f"hits_{k}") for k, x in of.items()],
+        *[F.sum(F.when(~x & F.col("seed"), F.col("n")).otherwise(0)).alias(f"against_{k}") for k, x in of.items()],
+    )
+    enough = F.lit(False)
+    for k in ALL_KINDS:
+        enough = enough | ((F.col(f"support_{k}") >= MIN_SUPPORT) & (F.col(f"hits_{k}") >= MIN_CONFIDENCE * (F.col(f"hits_{k}") + F.col(f"against_{k}"))))
+    return tally.where(enough).select(F.col("pattern").alias("__c"))
+
+
 def bootstrap(rows: DataFrame, docs: DataFrame, text: str, key: str, readings: int = READINGS) -> DataFrame:
     """(key, start, stop, kind) of what the contexts of the seeds in ``rows`` show in the texts of ``docs``; saved.
 
@@ -542,11 +560,11 @@ def bootstrap(rows: DataFrame, docs: DataFrame, text: str, key: str, readings: i
     known = saved(_edges(seeds, F.col("kind"), F.lit((1 << len(ALL_KINDS)) - 1)))
     # Equal texts are read as mentions once, but their places are counted in all of them.
     copies = rows.groupBy(key).agg(F.count("*").alias("copies")).where("copies > 1").select(F.col(key).alias("__text"), "copies")
-    learnt = known.select("pattern", "entity", "kind")
+    learnt = known.select("pattern", "kind", "n", F.lit(True).alias("seed"))
     found = accepted = trusted = asked = possible = None
     seen = 0
     for turn in range(readings):
-        candidates = learnt.groupBy("pattern", "kind").agg(F.count("*").alias("support")).where(F.col("support") >= MIN_SUPPORT).select(F.col("pattern").alias("__c")).distinct()
+        candidates = candidate_patterns(learnt)
         # Places of a pattern are counted once.
         fresh = saved(candidates if asked is None else candidates.join(asked, F.col("__c") == F.col("__asked"), "left_anti"))
         sieve = Sieve(fresh, "__c")
@@ -571,7 +589,7 @@ def bootstrap(rows: DataFrame, docs: DataFrame, text: str, key: str, readings: i
         named = found.select("entity", "head").distinct().select(F.col("entity").alias("__found"), "head")
         accepted = saved(chances.join(named, F.col("entity") == F.col("__found")).select("entity", "kind", "chance", "head"))
         more = edges.where("kind IS NULL").join(accepted.select(F.col("entity").alias("__known"), F.col("kind").alias("as")).distinct(), F.col("entity") == F.col("__known"))
-        learnt = known.select("pattern", "entity", "kind").unionByName(more.select("pattern", "entity", F.col("as").alias("kind")))
+        learnt = known.select("pattern", "kind", "n", F.lit(True).alias("seed")).unionByName(more.select("pattern", F.col("as").alias("kind"), "n", F.lit(False).alias("seed")))
     if found is None:
         return rows.select(key, F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit(SECRET).alias("kind")).where("false")
     place = found.select(key, "start", "stop", "fits", F.explode("links.pattern").alias("pattern"))
