@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over the documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over the documents, each written as Parquet and read again by the next.
+
+Results for odd input: a null text counts as empty. All null, empty and wordless texts that are equal are copies of each
+other; one stays, a null text stays null, and it is packed as the end token alone. A null doc_id is the first to go among
+copies and the last to name a group. Repeated rows are copies. Very long texts are handled whole. Extra columns pass through
+the first four stages, whatever their names (those that begin with two underscores apart); the last one returns the document's
+id, language and source with its pieces. An empty table gives an empty table. Without labels no document is toxic.
+"""
 
 from __future__ import annotations
 
