@@ -100,12 +100,15 @@ def list_array(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none, as in tests."""
+    """The shared folder of the cluster. Only where all runs on one machine may the session name none; then it is a
+    temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = os.path.join(tempfile.gettempdir(), f"checkpoints-{os.getpid()}")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -117,4 +120,15 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["saved_at"] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing reads any more. Tables saved from them stand on their own."""
+    for table in tables:
+        path = table.__dict__.pop("saved_at", None)
+        if path:
+            java = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            java.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(java, True)

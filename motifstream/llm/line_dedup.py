@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import saved
+from ._arrow import forget, saved
 from .exact_dedup import FILTER_BITS, bits_of, only_repeated, repeated_bits
 
 MIN_WORDS = 50
@@ -48,50 +48,74 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` with column rank: of ``columns`` in sorted order, where they came more than once."""
+    """``pairs`` with column rank: of ``columns`` in sorted order, where they came more than once. Saved."""
     groups = pairs.groupBy(*columns).agg(F.count("*").alias("__n")).where("__n > 1").select(*columns)
     # After a range partitioned sort the ids increase with the order of the rows.
-    order = groups.orderBy(*columns).select(*[F.col(c).alias(f"__{c}") for c in columns], F.monotonically_increasing_id().alias("rank"))
-    order = saved(order)
-    return pairs.join(order, [pairs[c] == order[f"__{c}"] for c in columns]).drop(*[f"__{c}" for c in columns])
-
-
-def repeated_places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(__key, __hash, line, words, rank) of the lines that come more than once; saved."""
+    order = saved(groups.orderBy(*columns).select(*[F.col(c).alias(f"__{c}") for c in columns], F.monotonically_increasing_id().alias("rank")))
+    out = saved(pairs.join(order, [pairs[c] == order[f"__{c}"] for c in columns]).drop(*columns, *[f"__{c}" for c in columns]))
+    forget(order)
+    return out
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(__key, __hash, doc, base) from (__key, __hash, size): documents numbered in order, and the sum of the sizes of
+    those before. Saved."""
+    order = saved(docs.orderBy(F.col("__key").isNull(), "__key", "__hash").select("__key", "__hash", "size", F.monotonically_increasing_id().alias("doc")))
+    # The ids hold the partition in their upper bits: a row for each partition, then sums inside each.
+    part = order.withColumn("__p", F.shiftright("doc", 33))
+    sums = part.groupBy("__p").agg(F.sum("size").alias("__s"))
+    before = sums.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("__p").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = saved(part.withColumn("__inside", inside).join(before, F.col("__p") == F.col("__q")).select("__key", "__hash", "doc", (F.col("__before") + F.col("__inside")).alias("base")))
+    forget(order)
+    return out
+
+
+def repeated_places(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """((place, doc, words, rank) of the lines that come more than once, (__key, __hash, doc, base)); both saved.
+
+    A place is its document's base plus its line, so places have the order of (key, hash, line), the next line is the
+    next place, and no document's last place has another one's right behind it.
+    """
     rows = _document(docs, key, text)
     every = _lines(rows)
     some = only_repeated(every, F.struct("id"), repeated_bits(every, F.struct("id"), FILTER_BITS), FILTER_BITS, "__again").where("__again")
     # Equal rows are one document.
     once = some.groupBy("__key", "__hash", "line").agg(F.first("id").alias("id"), F.first("words").alias("words"))
-    once = once.select("__key", "__hash", "line", F.col("id.a").alias("a"), F.col("id.b").alias("b"), "words")
-    return saved(_ranked(saved(once), ["a", "b"]).select("__key", "__hash", "line", "words", "rank"))
+    once = saved(once.select("__key", "__hash", "line", F.col("id.a").alias("a"), F.col("id.b").alias("b"), "words"))
+    names = _numbered(once.groupBy("__key", "__hash").agg((F.max("line") + 2).cast("long").alias("size")))
+    of = names.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), "doc", "base")
+    placed = once.join(of, once["__key"].eqNullSafe(of["k"]) & (once["__hash"] == of["h"])).select((F.col("base") + F.col("line")).alias("place"), "doc", "words", "a", "b")
+    out = _ranked(placed, ["a", "b"])
+    forget(once)
+    return out, names
 
 
 def doubled(level: DataFrame, step: int) -> DataFrame:
-    """Ranks over 2 * step lines from those over ``step`` lines."""
-    here = level.select("__key", "__hash", "line", F.col("rank").alias("r1"))
-    there = level.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), (F.col("line") - step).alias("l"), F.col("rank").alias("r2"))
-    pairs = here.join(there, here["__key"].eqNullSafe(there["k"]) & (here["__hash"] == there["h"]) & (here["line"] == there["l"]))
-    return saved(_ranked(saved(pairs.select("__key", "__hash", "line", "r1", "r2")), ["r1", "r2"]).select("__key", "__hash", "line", "rank"))
+    """(place, rank) over 2 * step lines from those over ``step`` lines."""
+    here = level.select("place", F.col("rank").alias("r1"))
+    there = level.select((F.col("place") - step).alias("__at"), F.col("rank").alias("r2"))
+    pairs = saved(here.join(there, F.col("place") == F.col("__at")).select("place", "r1", "r2"))
+    out = _ranked(pairs, ["r1", "r2"])
+    forget(pairs)
+    return out
 
 
 def longest_needed(places: DataFrame, min_words: int) -> int:
     """Lines in the longest of the shortest runs of ``min_words`` words that start at a line and have repeated lines only."""
-    document = Window.partitionBy("__key", "__hash")
-    island = places.withColumn("__island", F.col("line") - F.row_number().over(document.orderBy("line")))
-    stretch = Window.partitionBy("__key", "__hash", "__island")
-    summed = island.withColumn("c", F.sum("words").over(stretch.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    island = places.withColumn("__island", F.col("place") - F.row_number().over(Window.partitionBy("doc").orderBy("place")))
+    stretch = Window.partitionBy("doc", "__island")
+    summed = island.withColumn("c", F.sum("words").over(stretch.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
     summed = summed.withColumn("before", F.col("c") - F.col("words"))
-    # The first line at which the words from here on suffice: one more than those after which they do not.
+    # The first line at which the words from here on suffice is the last one before which they do not.
     ahead = stretch.orderBy("before").rangeBetween(0, min_words - 1)
-    both = summed.select("line", "before", F.max("line").over(ahead).alias("last"), F.max("c").over(ahead).alias("reach"))
-    return both.where(F.col("reach") - F.col("before") >= min_words).agg(F.max(F.col("last") - F.col("line") + 1)).first()[0] or 0
+    both = summed.select("place", "before", F.max("place").over(ahead).alias("last"), F.max("c").over(ahead).alias("reach"))
+    return both.where(F.col("reach") - F.col("before") >= min_words).agg(F.max(F.col("last") - F.col("place") + 1)).first()[0] or 0
 
 
 def suffix_ranks(places: DataFrame, longest: int) -> list[DataFrame]:
-    """(__key, __hash, line, rank) over 1, 2, 4.. lines, until ``longest`` lines are less than the next step or nothing
-    is repeated."""
-    levels, step = [places.select("__key", "__hash", "line", "rank")], 1
+    """(place, rank) over 1, 2, 4.. lines, until ``longest`` lines are less than the next step or nothing is repeated."""
+    levels, step = [places.select("place", "rank")], 1
     while 2 * step <= longest:
         wider = doubled(levels[-1], step)
         if wider.isEmpty():
@@ -102,54 +126,52 @@ def suffix_ranks(places: DataFrame, longest: int) -> list[DataFrame]:
 
 
 def common_prefixes(levels: list[DataFrame]) -> DataFrame:
-    """(__key, __hash, line, length) of each place that has lines in common with an earlier one: how many, twice the
-    widest step less one at most."""
-    place = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__hash").alias("hash"), F.col("line").alias("line"))
-    state = levels[-1].select("__key", "__hash", "line", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("of"), F.lit(False).alias("later"))
+    """(place, length) of each place that has lines in common with an earlier one: how many, twice the widest step less
+    one at most."""
+    new = (F.lit(0).alias("length"), F.lit(0).cast("long").alias("of"), F.lit(False).alias("later"))
+    state = levels[-1].select("place", *new)
     for k in range(len(levels) - 1, -1, -1):
-        step = 1 << k
+        step, old = 1 << k, state
         if k < len(levels) - 1:
             # Places whose lines are not repeated over the step above come in.
-            wider = levels[k + 1].select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"))
-            fresh = levels[k].join(wider, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("line") == F.col("l")), "left_anti")
-            state = state.unionByName(fresh.select("__key", "__hash", "line", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("of"), F.lit(False).alias("later")))
-        there = levels[k].select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), "rank")
-        met = state.withColumn("__at", F.col("line") + F.col("length")).join(there, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("__at") == F.col("l")), "left")
-        met = saved(met.select("__key", "__hash", "line", "length", "of", "later", "rank", place.alias("__place")))
-        groups = met.where("rank IS NOT NULL").groupBy("of", "rank").agg(F.count("*").alias("n"), F.min("__place").alias("__first")).where("n > 1")
-        groups = groups.select(F.struct("of", "rank").alias("__interval"), "__first", (F.monotonically_increasing_id() * len(levels) + k + 1).alias("__new"))
-        groups = saved(groups)
+            wider = levels[k + 1].select(F.col("place").alias("__wider"))
+            state = state.unionByName(levels[k].join(wider, F.col("place") == F.col("__wider"), "left_anti").select("place", *new))
+        there = levels[k].select(F.col("place").alias("__at"), "rank")
+        met = saved(state.join(there, F.col("place") + F.col("length") == F.col("__at"), "left").drop("__at"))
+        groups = met.where("rank IS NOT NULL").groupBy("of", "rank").agg(F.count("*").alias("n"), F.min("place").alias("__first")).where("n > 1")
+        groups = saved(groups.select(F.struct("of", "rank").alias("__interval"), "__first", (F.monotonically_increasing_id() * len(levels) + k + 1).alias("__new")))
         split = met.withColumn("__own", F.struct("of", "rank")).join(groups, F.col("__own") == F.col("__interval"), "left")
-        inside, first = F.col("__new").isNotNull(), F.col("__place") == F.col("__first")
+        inside, first = F.col("__new").isNotNull(), F.col("place") == F.col("__first")
+        on = lambda later: F.struct((F.col("length") + step).alias("length"), F.col("__new").alias("of"), F.lit(later).alias("later"))
         # A later place goes on with the longer prefix. The first one goes on as what others may meet, and stays behind too.
-        ways = F.when(inside & ~first, F.array(F.struct((F.col("length") + step).alias("length"), F.col("__new").alias("of"), F.lit(True).alias("later"))))
-        ways = ways.when(inside, F.array(F.struct((F.col("length") + step).alias("length"), F.col("__new").alias("of"), F.lit(False).alias("later")), F.struct("length", "of", "later")))
-        state = saved(split.select("__key", "__hash", "line", F.explode(F.coalesce(ways, F.array(F.struct("length", "of", "later")))).alias("w")).select("__key", "__hash", "line", "w.*"))
-    return state.where("later").groupBy("__key", "__hash", "line").agg(F.max("length").alias("length"))
+        ways = F.when(inside & ~first, F.array(on(True))).when(inside, F.array(on(False), F.struct("length", "of", "later")))
+        state = saved(split.select("place", F.explode(F.coalesce(ways, F.array(F.struct("length", "of", "later")))).alias("w")).select("place", "w.*"))
+        forget(met, groups, old)
+    return state.where("later").groupBy("place").agg(F.max("length").alias("length"))
 
 
 def deleted_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(__key, __hash, first, last) of the lines that lie in later copies; stretches of a document do not overlap. Saved."""
-    places = repeated_places(docs, key, text)
+    places, names = repeated_places(docs, key, text)
     longest = longest_needed(places, min_words)
     if not longest:
-        return places.select("__key", "__hash", F.col("line").alias("first"), F.col("line").alias("last")).where("false")
-    runs = common_prefixes(suffix_ranks(places, longest))
-    document = Window.partitionBy("__key", "__hash").orderBy("line")
+        return names.select("__key", "__hash", F.lit(0).alias("first"), F.lit(0).alias("last")).where("false")
+    levels = suffix_ranks(places, longest)
+    runs = common_prefixes(levels)
     # Lines of a run are repeated ones, so they stand next to each other among the places, and running sums count their words.
-    summed = places.select("__key", "__hash", "line", F.sum("words").over(document).alias("c"), "words")
-    at = summed.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("line").alias("l"), F.col("c").alias("through"))
-    start = summed.select(F.col("__key").alias("k2"), F.col("__hash").alias("h2"), F.col("line").alias("l2"), (F.col("c") - F.col("words")).alias("before"))
-    ends = runs.withColumn("last", F.col("line") + F.col("length") - 1)
-    ends = ends.join(at, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__hash") == F.col("h")) & (F.col("last") == F.col("l")))
-    ends = ends.join(start, F.col("__key").eqNullSafe(F.col("k2")) & (F.col("__hash") == F.col("h2")) & (F.col("line") == F.col("l2")))
-    copies = ends.where(F.col("through") - F.col("before") >= min_words).select("__key", "__hash", F.col("line").alias("first"), "last")
+    summed = places.select("place", "doc", "words", F.sum("words").over(Window.partitionBy("doc").orderBy("place")).alias("c"))
+    at, to = (summed.select(F.col("place").alias(f"{x}_at"), "doc", (F.col("c") - (F.col("words") if x == "from" else 0)).alias(f"{x}_words")) for x in ("from", "to"))
+    ends = runs.join(at, F.col("place") == F.col("from_at")).join(to.drop("doc"), F.col("place") + F.col("length") - 1 == F.col("to_at"))
+    copies = ends.where(F.col("to_words") - F.col("from_words") >= min_words).select("doc", F.col("place").alias("first"), F.col("to_at").alias("last"))
     # Stretches: a run that begins after all before it have ended opens a new one.
-    order = Window.partitionBy("__key", "__hash").orderBy("first")
+    order = Window.partitionBy("doc").orderBy("first")
     before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = copies.withColumn("opens", F.coalesce((F.col("first") > before).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("stretch", F.sum("opens").over(order))
-    return saved(numbered.groupBy("__key", "__hash", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("stretch"))
+    merged = opened.withColumn("stretch", F.sum("opens").over(order)).groupBy("doc", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    named = merged.join(names.withColumnRenamed("doc", "__doc"), F.col("doc") == F.col("__doc"))
+    out = saved(named.select("__key", "__hash", (F.col("first") - F.col("base")).cast("int").alias("first"), (F.col("last") - F.col("base")).cast("int").alias("last")))
+    forget(places, names, *levels[1:])
+    return out
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
