@@ -3,8 +3,8 @@
 Boundaries between pre-tokens are found without a regular expression. Every code point has a class; every class is a
 transition function of a small automaton; since composition of functions is associative, the automaton's state before
 each character comes from a blocked prefix scan over function numbers (a table holds every product of two functions).
-The slices between boundaries go through a cache to pair merging. Token offsets are kept, so that ids of any span of
-the text can be decoded.
+The slices between boundaries go through a cache to pair merging. ``encode`` keeps token offsets, by which
+``decode_spans`` decodes the ids of any span of the text; whole texts are decoded by copying pieces to their offsets.
 
 Results for odd input: a null text is an empty text and has no ids; an unpaired surrogate arrives as ``?`` from Spark;
 repeated rows are encoded one by one; an empty table gives an empty table. Columns of the input with the names of the
@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import base64
 import heapq
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -208,6 +210,10 @@ class Vocabulary:
                         pairs[left << 32 | right] = rank
         self.pairs, self.table = pairs, PairTable(pairs)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        #: Bytes of all pieces, and where each stands there.
+        self.pool = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.size = np.array(list(map(len, self.pieces)), np.int64)
+        self.place = np.cumsum(self.size) - self.size
         self.cache: dict[bytes, tuple[int, ...]] = {}
         self.numbers = list(range(len(self.pieces)))  # one object for each id, shared by the cached tuples
 
@@ -403,25 +409,48 @@ def encode_chunk(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary, table
     return ids, before[np.searchsorted(starts, offsets)], starts, before
 
 
+def token_offsets(ids: np.ndarray, splits: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The byte of its text at which each token starts."""
+    ends = np.concatenate([[0], np.cumsum(vocab.size[ids])])
+    return ends[:-1] - np.repeat(ends[splits[:-1]], np.diff(splits))
+
+
 def decode_chunk(ids: np.ndarray, splits: np.ndarray, vocab: Vocabulary) -> list[bytes]:
-    pieces, flat = vocab.pieces, ids.tolist()
-    cuts = splits.tolist()
-    return [b"".join([pieces[i] for i in flat[a:b]]) for a, b in zip(cuts, cuts[1:])]
+    """The bytes of each text, from its ids alone: pieces are copied to their offsets, BLOCK tokens at a time."""
+    size = vocab.size[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(int(ends[-1]), np.uint8)
+    for low in range(0, len(ids), BLOCK):
+        high = min(len(ids), low + BLOCK)
+        shift = vocab.place[ids[low:high]] - ends[low:high]
+        out[ends[low] : ends[high]] = vocab.pool[np.repeat(shift, size[low:high]) + np.arange(ends[low], ends[high])]
+    raw, cuts = out.tobytes(), ends[splits].tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def decode_span(ids: list[int], offsets: list[int], start: int, stop: int, vocab: Vocabulary) -> bytes:
+    """Bytes ``start`` to ``stop`` of a text from its ids and their offsets; only the tokens of the span are decoded."""
+    if stop <= start or not ids:
+        return b""
+    first, last = bisect_right(offsets, start) - 1, bisect_left(offsets, stop)
+    return b"".join([vocab.pieces[i] for i in ids[first:last]])[start - offsets[first] : stop - offsets[first]]
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (all but ``text`` and clashing ones), and ids array<int>, n_tokens bigint."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "n_tokens")]
+    """Columns ``keep`` (all but ``text`` and clashing ones), and ids array<int>, n_tokens bigint, offsets array<bigint>
+    (the byte of the text's UTF-8 form at which each token starts)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "n_tokens", "offsets")]
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        ids, splits, *_ = encode_chunk(data, offsets, vocabulary(path), class_table())
-        return [list_array(splits, ids), pa.array(np.diff(splits))]
+        vocab = vocabulary(path)
+        ids, splits, *_ = encode_chunk(data, offsets, vocab, class_table())
+        return [list_array(splits, ids), pa.array(np.diff(splits)), list_array(splits, token_offsets(ids, splits, vocab))]
 
-    return map_chunks(docs, text, kernel, "ids array<int>, n_tokens bigint", keep)
+    return map_chunks(docs, text, kernel, "ids array<int>, n_tokens bigint, offsets array<bigint>", keep)
 
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """As ``encode``, and decoded binary: the bytes that the ids stand for, found from the ids alone."""
+    """``keep``, ids, n_tokens, and decoded binary: the bytes that the ids stand for, found from the ids alone."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "n_tokens", "decoded")]
 
     def kernel(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -432,6 +461,19 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: list[str
     return map_chunks(docs, text, kernel, "ids array<int>, n_tokens bigint, decoded binary", keep)
 
 
+def decode_spans(encoded: DataFrame, path: str, first: str, last: str, ids: str = "ids", offsets: str = "offsets", out: str = "decoded") -> DataFrame:
+    """Replace or add column ``out`` (binary): bytes ``first`` to ``last`` (columns) of each encoded text. Null where one of
+    the columns is null."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("binary")
+    def spans(i: pd.Series, o: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        vocab = vocabulary(path)
+        return pd.Series([None if x is None or y is None or pd.isna(c) or pd.isna(d) else decode_span(list(x), list(y), int(c), int(d), vocab) for x, y, c, d in zip(i, o, a, b)])
+
+    return encoded.withColumn(out, spans(*[F.col(f"`{c}`") for c in (ids, offsets, first, last)]))
+
+
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Replace or add column ``out`` (binary): the bytes of the ids. Null ids decode to empty bytes."""
     from pyspark.sql import functions as F

@@ -2,8 +2,8 @@
 
 Rows are refined in three steps: by length, by a hash of the start of the text, by a hash of the whole text. A step
 looks only at rows whose key of the step before came more than once. Which keys came more than once is held in a
-bitmap of fixed size (``filter_bits``), so it may be broadcast however large the corpus is; two keys on one bit only
-mean that a few rows more go on to the next step, where the next key tells them apart. Texts are never shuffled: the
+bitmap of about eight bits a row, ``MOST_BITS`` at most, so it may be broadcast however large the corpus is; two keys on
+one bit only mean that a few rows more go on to the next step, where the next key tells them apart. Texts are never shuffled: the
 last step moves hashes and row numbers. The largest group may hold a third of the rows: groups are aggregated before
 they are shuffled, and the join that brings each row its group is one that adaptive execution splits.
 
@@ -22,8 +22,8 @@ from ._arrow import saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Size of the bitmaps of repeated keys: 2**23 bits are 1 MiB. Broadcast once for each of two steps.
-FILTER_BITS = 2**23
+#: Sizes of the bitmaps of repeated keys, in bits: 128 KiB to 128 MiB. Broadcast once for each of two steps.
+LEAST_BITS, MOST_BITS = 2**20, 2**30
 #: Characters that the second step hashes.
 PREFIX_CHARS = 128
 
@@ -34,6 +34,11 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys: eight for each, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (8 * keys - 1).bit_length())) if keys else LEAST_BITS
+
+
 def repeated_bits(rows: DataFrame, key: Column, bits: int) -> DataFrame:
     """(__bucket, __bitmap) of the hash positions to which more than one row's key leads; at most bits / 8 bytes."""
     once = rows.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
@@ -56,8 +61,12 @@ def only_repeated(rows: DataFrame, key: Column, bitmaps: DataFrame, bits: int, f
     return rows.withColumn(flag, hit).drop("__p", "__bucket", "__bitmap")
 
 
-def refined(docs: DataFrame, text: str, filter_bits: int) -> DataFrame:
-    """``docs`` with boolean __again: whether a row's length and start came more than once (or share a bit that did)."""
+def refined(docs: DataFrame, text: str, filter_bits: int | None) -> DataFrame:
+    """``docs`` with boolean __again: whether a row's length and start came more than once (or share a bit that did).
+
+    filter_bits: size of the bitmaps; from the number of rows unless given.
+    """
+    filter_bits = bits_for(docs.count()) if filter_bits is None else filter_bits
     plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     length, start = F.struct(F.octet_length(plain)), F.struct(F.octet_length(plain), normalised(F.substring(plain, 1, PREFIX_CHARS)))
     by_length = only_repeated(docs, length, repeated_bits(docs, length, filter_bits), filter_bits, "__again_length")
@@ -66,7 +75,7 @@ def refined(docs: DataFrame, text: str, filter_bits: int) -> DataFrame:
     return by_start.withColumn("__again", F.col("__again_length") & F.col("__again_start")).drop("__again_length", "__again_start")
 
 
-def group_table(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS, hash_all: bool = False) -> DataFrame:
+def group_table(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bits: int | None = None, hash_all: bool = False) -> DataFrame:
     """One row for every row: ``key``, keep_id, group_size, kept, content_hash (SHA-256 of the normalised text).
 
     content_hash is null where a step before the last set the row apart, unless ``hash_all``.
@@ -90,7 +99,7 @@ def group_table(docs: DataFrame, key: str = "doc_id", text: str = "text", filter
     return met.unionByName(alone)
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", filter_bits: int | None = None) -> DataFrame:
     """``docs`` without its duplicates. Rows that are set apart early pass straight through; of each group one row is
     chosen before the shuffle and after it. Of rows with one key and text, that with the largest hash of all columns stays."""
     columns = docs.columns

@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import forget, saved
-from .exact_dedup import FILTER_BITS, bits_of, only_repeated, repeated_bits
+from .exact_dedup import bits_for, bits_of, only_repeated, repeated_bits
 
 MIN_WORDS = 50
+#: Different lines of a document that the bitmap of repeated lines is sized for.
+LINES = 16
 
 
 def _document(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,7 +81,8 @@ def repeated_places(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Da
     """
     rows = _document(docs, key, text)
     every = _lines(rows)
-    some = only_repeated(every, F.struct("id"), repeated_bits(every, F.struct("id"), FILTER_BITS), FILTER_BITS, "__again").where("__again")
+    bits = bits_for(LINES * docs.count())
+    some = only_repeated(every, F.struct("id"), repeated_bits(every, F.struct("id"), bits), bits, "__again").where("__again")
     # Equal rows are one document.
     once = some.groupBy("__key", "__hash", "line").agg(F.first("id").alias("id"), F.first("words").alias("words"))
     once = saved(once.select("__key", "__hash", "line", F.col("id.a").alias("a"), F.col("id.b").alias("b"), "words"))
@@ -184,7 +187,8 @@ def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, count: str |
     gone = deleted_stretches(docs, key, text, min_words)
     of = F.struct(F.col("__key"), F.col("__hash"))
     changed = gone.select(F.col("__key"), F.col("__hash")).distinct()
-    rows = only_repeated(_document(docs, key, text), of, bits_of(changed, of, FILTER_BITS), FILTER_BITS, "__changed")
+    bits = bits_for(changed.count())
+    rows = only_repeated(_document(docs, key, text), of, bits_of(changed, of, bits), bits, "__changed")
     chosen = [F.col(f"`{c}`") for c in columns]
     extra = [F.lit(0).cast("long").alias(count)] if count else []
     same = rows.where("NOT __changed").select(*chosen, *extra)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from ._arrow import list_array, map_chunks, saved, small_batches
 from .bpe import slice_keys
 from .components import components
-from .exact_dedup import FILTER_BITS, bits_of, only_repeated
+from .exact_dedup import bits_for, bits_of, only_repeated
 from .words import in_words, sum_by
 
 WORDS = 5
@@ -151,7 +151,8 @@ def class_sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         return [pa.array(set_hash(members, splits)), list_array(splits, members.view(np.int64))]
 
     low = docs.select(_plain(text).alias("__low")).withColumn("__text_hash", F.xxhash64("__low"))
-    low = only_repeated(low, F.struct(F.col("__text_hash")), bits_of(wanted, F.struct(F.col("__text_hash")), FILTER_BITS), FILTER_BITS, "__wanted").where("__wanted")
+    bits = bits_for(wanted.count())
+    low = only_repeated(low, F.struct(F.col("__text_hash")), bits_of(wanted, F.struct(F.col("__text_hash")), bits), bits, "__wanted").where("__wanted")
     return map_chunks(low, "__low", kernel, "__class bigint, __members array<bigint>", [])
 
 
@@ -309,7 +310,8 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     # One text hash stands for one class.
     inside = saved(found.groupBy("__text_hash").agg(F.min(F.struct(F.col("class_id").isNull(), "class_id")).getField("class_id").alias("class_id")))
     rows = docs.withColumn("__text_hash", F.xxhash64(_plain(text)))
-    rows = only_repeated(rows, F.struct(F.col("__text_hash")), bits_of(inside, F.struct(F.col("__text_hash")), FILTER_BITS), FILTER_BITS, "__inside")
+    bits = bits_for(inside.count())
+    rows = only_repeated(rows, F.struct(F.col("__text_hash")), bits_of(inside, F.struct(F.col("__text_hash")), bits), bits, "__inside")
     chosen = [F.col(f"`{c}`") for c in columns]
     order = F.struct(F.col(f"`{key}`").isNull().alias("a"), F.col(f"`{key}`").alias("b"), (-F.xxhash64(*chosen).cast("decimal(20,0)")).alias("c"))
     joined = rows.where("__inside").select(F.struct(*chosen).alias("__row"), order.alias("__order"), "__text_hash")

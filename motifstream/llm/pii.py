@@ -642,15 +642,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Trusted patterns come from all rows. Rows with spans that only the bootstrap found are few; they alone are shuffled
     with their text. Which rows they are is told by a bitmap of bounded size.
     """
-    from .exact_dedup import FILTER_BITS, bits_of, only_repeated
+    from .exact_dedup import bits_for, bits_of, only_repeated
 
     columns = docs.columns
     key = F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256)
     found = find(docs.select(key.alias("__key"), F.col(f"`{text}`").alias("__text")), "__text", ["__key"])
     extra = found.where(F.size("spans") > F.size("base")).groupBy("__key").agg(F.first("spans").alias("__spans"))
     extra = saved(extra.withColumnRenamed("__key", "__same"))
-    bitmaps = bits_of(extra, F.struct(F.col("__same")), FILTER_BITS)
-    rows = only_repeated(docs.withColumn("__key", key), F.struct(F.col("__key")), bitmaps, FILTER_BITS, "__more")
+    bits = bits_for(extra.count())
+    rows = only_repeated(docs.withColumn("__key", key), F.struct(F.col("__key")), bits_of(extra, F.struct(F.col("__same")), bits), bits, "__more")
 
     def marked(rows: DataFrame) -> DataFrame:
         at, names = columns.index(text), [*columns]

@@ -86,7 +86,22 @@ class Model:
         return (self.embedding @ way).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 90, rate: float = 0.08, decay: float = 3e-5, penalty: float = 0.1, true_share: float | None = None, seed: int = 11) -> Model:
+#: Terms that a training step adds up at once.
+TERMS = 1 << 20
+
+
+def _sums(values: np.ndarray, index: np.ndarray, target: np.ndarray, size: int, scale: np.ndarray | None = None) -> np.ndarray:
+    """Product of a sparse matrix and ``values``, which like the result holds a row for each dimension: sums of
+    values[:, index] (each times its scale) by target, TERMS terms at a time."""
+    out = np.zeros((len(values), size))
+    for low in range(0, len(index), TERMS):
+        part, to = index[low : low + TERMS], target[low : low + TERMS]
+        for row, column in zip(values, out):
+            column += np.bincount(to, row[part] if scale is None else row[part] * scale[low : low + TERMS], size)
+    return out
+
+
+def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, rounds: int = 90, rate: float = 0.08, decay: float = 3e-5, penalty: float = 0.2, true_share: float | None = None, seed: int = 11) -> Model:
     """Joint training of embeddings and softmax on whole texts, all texts in each round.
 
     penalty: on the length of each bucket's vector, as a share of the longest gradient of the first round.
@@ -116,9 +131,11 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
         return model
     pair, count = np.unique(np.concatenate(rows) * len(words) + np.concatenate(cols), return_counts=True)
     row, col = pair // len(words), pair % len(words)
-    parts = [subwords(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]  # a part's working arrays at a time
-    buckets = np.concatenate([x.astype(np.int32) for x, _ in parts])
-    bag = np.concatenate([np.diff(x) for _, x in parts])
+    parts = []
+    for i in range(0, len(words), 20_000):  # a part's working arrays at a time
+        found, splits = subwords(words[i : i + 20_000])
+        parts.append((found.astype(np.int32), np.diff(splits).astype(np.int32)))
+    buckets, bag = (np.concatenate(x) for x in zip(*parts))
     # Buckets seen in enough texts; renumbered, so that the parameters are dense.
     per_word = np.repeat(np.arange(len(words), dtype=np.int32), bag)
     texts_of_word = np.bincount(col, minlength=len(words))
@@ -138,17 +155,17 @@ def train(texts: list[str], labels: np.ndarray, dimensions: int = DIMENSIONS, ro
     target = np.stack([1 - labels, labels], 1).astype(float)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, v, bias)]
     gain = 20.0  # toxic words are few among many: logits of an average need large vectors
+    row, col, share_of = row.astype(np.int32), col.astype(np.int32), share_of.astype(np.float32)
+    del pair, count
     for t in range(1, rounds + 1):
-        weighted = e * rare
-        vec = np.stack([np.bincount(w, weighted[b, d], len(words)) for d in range(dimensions)], 1)
-        mean = gain * np.stack([np.bincount(row, vec[col, d] * share_of, len(texts)) for d in range(dimensions)], 1)
+        vec = _sums((e * rare).T.copy(), b, w, len(words))
+        mean = gain * _sums(vec, col, row, len(texts), share_of).T
         logit = mean @ v + bias
         prob = np.exp(logit - logit.max(1, keepdims=True))
         prob /= prob.sum(1, keepdims=True)
         off = (prob - target) / len(texts)
-        back = gain * (off @ v.T)
-        to_word = np.stack([np.bincount(col, back[row, d] * share_of, len(words)) for d in range(dimensions)], 1)
-        to_e = np.stack([np.bincount(b, to_word[w, d], len(used)) for d in range(dimensions)], 1) * rare
+        to_word = _sums((gain * (off @ v.T)).T.copy(), row, col, len(words), share_of)
+        to_e = _sums(to_word, w, b, len(used)).T * rare
         if t == 1:
             shrink = penalty * np.sqrt((to_e**2).sum(1)).max(initial=0)
         to_e += decay * e + shrink * e / (np.sqrt((e**2).sum(1, keepdims=True)) + 1e-3)

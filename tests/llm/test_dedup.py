@@ -41,7 +41,7 @@ def test_exact_groups(spark, tmp_path):
         kept[r["text_sha256"]] = kept.get(r["text_sha256"], 0) + r["kept"]
         assert not r["kept"] or r["doc_id"] == r["keep_id"]
     assert set(kept.values()) == {1}
-    for bits in (64, exact_dedup.FILTER_BITS):  # a small bitmap lets too many rows on and changes nothing
+    for bits in (64, None):  # a small bitmap lets too many rows on and changes nothing
         left = exact_dedup.dedup(docs(spark, EXACT), filter_bits=bits)
         assert left.columns == docs(spark, EXACT).columns
         want = sorted(((max([i for i in ids if i is not None], default=None)) or -1, t) for t, ids in groups.items())
@@ -51,6 +51,12 @@ def test_exact_groups(spark, tmp_path):
     assert exact_dedup.dedup(docs(spark, [])).count() == 0 and exact_dedup.group_table(docs(spark, [])).count() == 0
 
 
+def test_bitmaps_grow_with_the_keys():
+    sizes = [exact_dedup.bits_for(n) for n in (0, 1, 10**5, 10**6, 10**8, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == exact_dedup.LEAST_BITS and sizes[-1] == exact_dedup.MOST_BITS
+    assert all(8 * n <= b < 16 * n for n, b in zip((10**6, 10**8), sizes[3:5]))
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 60) if i % 13] + [(200, k) for k in range(201, 240)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(25)] + [(5, 5), (7, None)]
@@ -265,9 +271,12 @@ def test_blank_lines_do_not_multiply_rows(spark):
 def test_common_prefixes_by_brute_force(spark):
     rng = random.Random(19)
     rows = [(i, "\n".join(rng.choice("ab" if i % 2 else "abcde") for _ in range(rng.randrange(1, 16)))) for i in range(14)]
-    places = line_dedup.repeated_places(docs(spark, rows), "doc_id", "text")
+    places, names = line_dedup.repeated_places(docs(spark, rows), "doc_id", "text")
     levels = line_dedup.suffix_ranks(places, 16)
-    got = {(r["__key"], r["line"]): r["length"] for r in line_dedup.common_prefixes(levels).collect()}
+    bases = sorted((r["base"], r["__key"]) for r in names.collect())
+    assert [k for _, k in bases] == sorted(k for _, k in bases)
+    at = lambda place: next((k, place - b) for b, k in reversed(bases) if b <= place)
+    got = {at(r["place"]): r["length"] for r in line_dedup.common_prefixes(levels).collect()}
     lines = {i: t.split("\n") for i, t in rows}
     places = [(i, k) for i, t in lines.items() for k in range(len(t))]
 
@@ -281,10 +290,10 @@ def test_common_prefixes_by_brute_force(spark):
     want = {b: min(n, most) for k, b in enumerate(places) if (n := max([common(a, b) for a in places[:k]], default=0))}
     assert got == want
     # Ranks over each step are in the order of the lines' ranks: a suffix array.
-    one = {(r["__key"], r["line"]): r["rank"] for r in levels[0].collect()}
+    one = {r["place"]: r["rank"] for r in levels[0].collect()}
     for k, level in enumerate(levels):
-        found = {(r["__key"], r["line"]): r["rank"] for r in level.collect()}
-        key = {p: tuple(one[p[0], p[1] + n] for n in range(2**k)) for p in found}
+        found = {r["place"]: r["rank"] for r in level.collect()}
+        key = {p: tuple(one[p + n] for n in range(2**k)) for p in found}
         order = {x: n for n, x in enumerate(sorted(set(key.values())))}
         by_rank = {x: n for n, x in enumerate(sorted(set(found.values())))}
         assert all(order[key[p]] == by_rank[found[p]] for p in found)

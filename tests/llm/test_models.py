@@ -1,18 +1,22 @@
 """Classifiers by held-out accuracy, personal data by brute force, and the pipeline stage by stage."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from motifstream.llm import langid, pii, queries, toxicity
 from motifstream.llm._arrow import text_chunks
+from tests.llm.test_dedup import normal, shingle_set
 
 FOLDER = "/root/testdata/sf0.01"
 #: With more labels: a few hundred are too few for the classifier.
@@ -44,6 +48,31 @@ def test_toxicity(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def plain_score(text, weights, bias):
+    """Average over all words' buckets, each word on its own; weights are fixed-point numbers."""
+    total = n = 0
+    for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").lower().encode()):
+        buckets = toxicity.subwords([word])[0]
+        letters = len(word.decode()) + 2
+        assert len(buckets) == sum(max(0, letters - k + 1) for k in toxicity.NGRAMS) + 1
+        total += sum(int(float(weights[b]) * 2**20) for b in buckets)
+        n += len(buckets)
+    return 1 / (1 + math.exp(-(total / 2**20 / (n + toxicity.EXTRA) + bias)))
+
+
+def test_op5_by_brute_force(spark):
+    """Every row's score and prediction from the model's weights, one word at a time."""
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    weights, bias = toxicity.fit(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).weights()
+    got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = plain_score(r["text"], weights, bias)
+        mine = got[r["doc_id"]]
+        assert mine["score"] == pytest.approx(want, abs=1e-9) and mine["predicted"] == (mine["score"] >= 0.3) and mine["held_out"] == fold(r["doc_id"])
+
+
 def test_toxicity_shares_ngrams_with_misspellings():
     rng = random.Random(1)
     plain = ["".join(rng.choice("aeiou") + rng.choice("bcdfg") for _ in range(3)) for _ in range(60)]
@@ -370,6 +399,64 @@ def test_blank_merges_overlaps():
     assert pii.blank("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[IP]f" and pii.blank("ab", []) == "ab"
 
 
+def by_hand(spark, folder, rows):
+    """The pipeline's rows (doc_id, start, token ids) by plain loops: classifier word by word, texts as dictionary keys,
+    all pairs of word sets, fixed patterns and the library's tokenizer."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weights, bias = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")).weights()
+    left = {i: t for i, t in rows if plain_score(t, weights, bias) < 0.3}
+    same = {}
+    for i, t in left.items():
+        same.setdefault(normal(t), []).append(i)
+    left = {max(ids): left[max(ids)] for ids in same.values()}
+    sets, root = {i: shingle_set(t) for i, t in left.items()}, {i: i for i in left}
+    top = lambda i: i if root[i] == i else top(root[i])
+    ids = sorted(left)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    left = {i: t for i, t in left.items() if top(i) == i}
+    found = {}
+    for r in pii.find(spark.createDataFrame(list(left.items()), "doc_id long, text string"), keep=["doc_id"]).collect():
+        found[r["doc_id"]] = [(s["kind"], s["start"], s["stop"]) for s in r["spans"]]
+    tokenizer, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for i, t in left.items():
+        assert set(base(t or "")) <= set(found[i])
+        text, end = [], 0
+        for kind, a, b in sorted(found[i], key=lambda s: (s[1], -s[2])):
+            if a >= end:
+                text += [(t or "")[end:a], f"[{kind.upper()}]"]
+            end = max(end, b)
+        tokens = [*tokenizer.encode("".join([*text, (t or "")[end:]]), add_special_tokens=False).ids, 1]
+        start = 0
+        while start < len(tokens):
+            length = min(2048, 1 << ((len(tokens) - start).bit_length() - 1))
+            out.add((i, start, tuple(tokens[start : start + length])))
+            start += length
+    return out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    near = " ".join(f"the{i}" for i in range(60))
+    extra = [(10**6, "copy text one"), (10**6 + 1, "COPY text one"), (10**6 + 2, near), (10**6 + 3, near.replace("the30", "other")), (10**6 + 4, "mail a.b@c.example now é +1 (555) 010-2345"), (10**6 + 5, None), (10**6 + 6, "")]
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = source.unionByName(spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in extra], source.schema))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    want = by_hand(spark, str(tmp_path), [(r["doc_id"], r["text"]) for r in rows.collect()])
+    got = {(r["doc_id"], r["start"], tuple(np.frombuffer(r["tokens"], "<u4").tolist())) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == want and len({i for i, *_ in got}) > 50
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     near = " ".join(f"the{i}" for i in range(60))
     extra = [(10**6, "copy text one"), (10**6 + 1, "COPY text one"), (10**6 + 2, near), (10**6 + 3, near.replace("the30", "other")), (10**6 + 4, "mail a.b@c.example now"), (10**6 + 5, None)]

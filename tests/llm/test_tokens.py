@@ -111,6 +111,21 @@ def test_op8(spark, tmp_path):
         packing.pack(docs(spark, rows), JSON, 100)
 
 
+def test_spans_are_decoded_by_offsets(spark):
+    rng, rows = random.Random(9), []
+    for i, x in enumerate([*ODD, None]):
+        n = len((x or "").encode())
+        a = rng.randrange(n + 1)
+        rows += [(3 * i, x, a, rng.randrange(a, n + 1), "c"), (3 * i + 1, x, 0, n, "c"), (3 * i + 2, x, None, n, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, a int, b int, offsets string")
+    got = {r["doc_id"]: r for r in bpe.decode_spans(bpe.encode(table, RANKS), RANKS, "a", "b").collect()}
+    for i, x, a, b, _ in rows:
+        raw = (x or "").encode()
+        assert got[i]["decoded"] == (None if a is None else raw[a:b])
+        pieces = [raw[s:e] for s, e in zip(got[i]["offsets"], [*got[i]["offsets"][1:], len(raw)])]
+        assert [bpe.vocabulary(RANKS).ranks[p] for p in pieces] == got[i]["ids"]
+
+
 @pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
 def test_tiff_round_trip(scheme):
     rng = np.random.default_rng(3)
@@ -263,6 +278,13 @@ def test_op4(spark, tmp_path):
     sizes = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["size"], r["text_crc32"]) for r in got)
     assert sizes == sorted((i if i is not None else -1, len((x or "").encode()) + 1, zlib.crc32((x or "").encode())) for i, x in rows)
     assert sharding.assign(docs(spark, [])).count() == 0
+    by_key = {}
+    for r in got:
+        by_key.setdefault(r["shard"], []).append((r["slot"], -1 if r["doc_id"] is None else r["doc_id"]))
+    assert all([k for _, k in sorted(x)] == sorted(k for _, k in x) for x in by_key.values())
+    named = spark.createDataFrame([("a",), ("b",), (None,), ("a",), ("c" * 5000,)], "doc_id string").withColumn("text", F.lit("x"))
+    found = sharding.assign(named, 5).collect()
+    assert len({r["shard"] for r in found if r["doc_id"] == "a"}) == 1 and {r["shard"] for r in found if r["doc_id"] is None} == {jump(0, 5)}
 
 
 def test_json_ranks_are_those_of_the_rank_file():
