@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
@@ -26,10 +26,9 @@ def candidates(graph: Graph, pattern: Pattern) -> DataFrame:
         met = None
         for (label, target), k in sorted(pattern.requirements(v).items()):
             each = graph.relation((pattern.labels[v], label, target)).groupBy("src", "batch").agg(F.count("*").alias("n"))
-            listed = each.groupBy("src").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("batch", "n"))).alias("by")).where(F.col("n") >= k)
-            # Running count; the batch at which it reaches k.
-            reached = F.aggregate("by", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("since")), lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.when((s["since"] < 0) & (s["n"] + x["n"] >= k), x["batch"]).otherwise(s["since"]).alias("since")))
-            one = listed.select(F.col("src").alias("id"), reached["since"].alias("since"))
+            # The batch in which the running count reaches k.
+            counted = each.withColumn("c", F.sum("n").over(Window.partitionBy("src").orderBy("batch")))
+            one = counted.where((F.col("c") >= k) & (F.col("c") - F.col("n") < k)).select(F.col("src").alias("id"), F.col("batch").alias("since"))
             if met is None:
                 met = one
             else:

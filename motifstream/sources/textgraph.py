@@ -14,23 +14,24 @@ class GraphFormatError(ValueError):
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(nth, part): words of each line with an increasing number. Files are numbered in the order in which they are read."""
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("nth"), F.split(F.trim("value"), r"\s+").alias("part"))
+    """(file, block, nth, part): words of each line; lines stand in the order of files, of blocks in a file, and of the
+    increasing number nth in a block, in whatever order Spark reads them."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.split(F.trim("value"), r"\s+").alias("part"))
     return rows.where(F.col("part")[0].isin("v", "e"))
 
 
 def _edges(rows: DataFrame) -> DataFrame:
     part = F.col("part")
-    return rows.where(part[0] == "e").select("nth", part[1].cast("long").alias("src"), part[2].cast("long").alias("dst"), F.coalesce(F.get(part, F.lit(3)).cast("int"), F.lit(0)).alias("label"))
+    return rows.where(part[0] == "e").select("file", "block", "nth", part[1].cast("long").alias("src"), part[2].cast("long").alias("dst"), F.coalesce(F.get(part, F.lit(3)).cast("int"), F.lit(0)).alias("label"))
 
 
-def numbered(rows: DataFrame, order: str = "nth") -> DataFrame:
-    """Add seq: 0, 1, ... in the order of the increasing numbers that Spark gave the rows.
+def numbered(rows: DataFrame, order: str = "nth", parts: tuple[str, ...] = ()) -> DataFrame:
+    """Add seq: 0, 1, ... in the order of the columns ``parts``, then of the increasing numbers that Spark gave the rows.
 
-    Those numbers hold the partition in their upper bits, so positions follow from partition sizes: nothing is
-    gathered in one task.
+    Without ``parts`` those numbers decide alone; they hold the partition in their upper bits. Positions follow from the
+    sizes of parts or partitions: nothing is gathered in one task.
     """
-    split = rows.withColumn("__p", F.shiftright(order, 33))
+    split = rows.withColumn("__p", F.struct(*parts) if parts else F.shiftright(order, 33))
     sizes = split.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__p").orderBy(order))
@@ -45,7 +46,7 @@ def batches(edges: DataFrame, batch_size: int | None) -> DataFrame:
 
 
 def load(spark: SparkSession, data: str, update: str | None = None, batch_size: int | None = None, pattern: Pattern | None = None) -> Graph:
-    """A graph from a data file and a file of insertions. With a pattern, labels that it lacks are left out at once;
+    """A graph from a data file and a file of insertions (or a folder of them, in the order of their names). With a pattern, labels that it lacks are left out at once;
     batch numbers count all edge lines all the same."""
     if batch_size is not None and batch_size < 1:
         raise ValueError("batch_size must be positive")
@@ -60,7 +61,7 @@ def load(spark: SparkSession, data: str, update: str | None = None, batch_size:
         new = _lines(spark, update)
         if new.where(F.col("part")[0] == "v").limit(1).count():
             raise GraphFormatError("an update file holds edges only")
-        edges = edges.unionByName(batches(numbered(_edges(new)), batch_size).select("src", "dst", "label", "seq", "batch"))
+        edges = edges.unionByName(batches(numbered(_edges(new), "nth", ("file", "block")), batch_size).select("src", "dst", "label", "seq", "batch"))
     if pattern is not None:
         edges = edges.where(F.col("label").isin(*sorted({x for *_, x in pattern.edges})))
     return Graph(vertices, clean_edges(edges))

@@ -14,6 +14,7 @@ nothing; of copies of an edge the first stays.
 from __future__ import annotations
 
 import re
+import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,8 @@ class IncrementalMatcher:
     def __init__(self, spark: SparkSession, vertices: DataFrame, pattern: Pattern, folder: str, buckets: int = 64, sizes: Sizes | None = None):
         self.spark, self.pattern, self.folder = spark, pattern, folder.rstrip("/")
         self.vertices, self.buckets, self.sizes = vertices, buckets, sizes
+        #: Of each batch: seconds of indexing and of matching.
+        self.seconds: dict[int, tuple[float, float]] = {}
 
     def start(self, initial: DataFrame) -> None:
         """Write the initial graph, batch 0."""
@@ -91,10 +94,13 @@ class IncrementalMatcher:
 
     def insert(self, edges: DataFrame, batch: int) -> None:
         """Add one batch and write what it brings; edges that are there already are no news."""
+        began = time.perf_counter()
         new = self._clean(edges)
         known = self.halves(0, batch - 1, self._distinct(new, self._bucket("src"))).select("src", "dst")
         self._write(new.join(known, ["src", "dst"], "left_anti"), batch)
+        indexed = time.perf_counter()
         self.new_matches(batch).write.mode("overwrite").parquet(f"{self.folder}/matches/batch={batch}")
+        self.seconds[batch] = (indexed - began, time.perf_counter() - indexed)
 
     def new_matches(self, batch: int) -> DataFrame:
         """(m0.., seed_edge) of the embeddings that ``batch`` brings: for each pattern edge, what grows from the batch's

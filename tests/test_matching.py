@@ -152,6 +152,17 @@ def test_odd_edges(spark, tmp_path):
         textgraph.load(spark, *files)
 
 
+def test_files_of_insertions_go_by_name(spark, tmp_path):
+    (tmp_path / "data").write_text("\n".join(f"v {i} 0" for i in range(60)) + "\n")
+    folder = tmp_path / "updates"
+    folder.mkdir()
+    (folder / "part-0").write_text("e 58 59 0\n")
+    (folder / "part-1").write_text("".join(f"e {i} {i + 1} 0\n" for i in range(50)))
+    graph = textgraph.load(spark, str(tmp_path / "data"), str(folder), 1)
+    got = {(r["src"], r["dst"]): r["batch"] for r in graph.edges.collect()}
+    assert got == {(58, 59): 1} | {(i, i + 1): i + 2 for i in range(50)}
+
+
 def test_command_line(spark, tmp_path, capsys):
     files = write(tmp_path, *K4)
     (tmp_path / "query").write_text("v 0 0\nv 1 0\nv 2 0\ne 0 1 0\ne 1 2 0\ne 0 2 0\n")
@@ -179,6 +190,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in matcher.matches().collect():
         got[r["batch"]].add(tuple(r[f"m{v}"] for v in range(3)))
     assert list(got.values()) == increments(pattern, labels, initial, batches)
+    assert sorted(matcher.seconds) == [1, 2] and min(min(x) for x in matcher.seconds.values()) > 0
 
 
 def test_a_batch_reads_only_the_buckets_of_its_edges(spark, tmp_path):
