@@ -9,6 +9,10 @@ edge over all edges and keep an embedding only at its smallest new edge.
 All joins are equi-joins on vertex ids; that images differ is a residual condition of the join and is asked only of
 vertices with equal labels. The batch of each edge is folded into a running maximum, so a partial embedding holds its
 images and one number.
+
+Where a vertex is bound by several relations and the first would make very many rows, ``full`` either joins the first two
+at that vertex and then with the rows on both ends (wedge), if that makes far fewer, or drops rows that the others
+cannot close by bitmaps of their edges before anything is shuffled (sieve).
 """
 
 from __future__ import annotations
@@ -21,9 +25,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_key, latest, seed_edge
 from ..plans.pattern import Pattern
-from ..plans.planner import Plan, by_union, plan
-from ..plans.symmetry import breaking
+from ..plans.planner import Plan, Step, by_union, plan
+from ..plans.symmetry import automorphisms, breaking
 from ..sources.graph import Graph
+from .sieve import sieved
+
+#: Estimated rows of a join from which ``full`` looks for a way to make or move fewer.
+MANY = 10_000_000
 
 Relation = Callable[[int, int], DataFrame]
 
@@ -32,16 +40,24 @@ def _columns(pattern: Pattern) -> list[str]:
     return [f"m{v}" for v in range(len(pattern.labels))]
 
 
-def grow(rows: DataFrame, pattern: Pattern, steps, relation: Relation, bound: list[int], keep: str, less: list[tuple[int, int]] = ()) -> DataFrame:
+def grow(rows: DataFrame, pattern: Pattern, steps, relation: Relation, bound: list[int], keep: str, less: list[tuple[int, int]] = (), ways: dict[int, str] | None = None, sizes=None) -> DataFrame:
     """Bind the vertices of ``steps`` one after the other.
 
     keep: 'latest' folds edge batches into column batch, 'each' keeps b<i> of every edge, 'none' drops them.
     less: pairs (a, b) of vertices whose images must be in that order.
+    ways: 'wedge' or 'sieve' for vertices that are not bound by plain joins; sizes: of the relations, for sieves.
     """
     bound = list(bound)
     for step in steps:
-        v = step.vertex
+        v, way = step.vertex, (ways or {}).get(step.vertex)
+        if way == "wedge":
+            rows = _met(rows, pattern, step, relation, bound, keep, less)
         for nth, b in enumerate(step.backward):
+            if way == "wedge" and nth < 2:
+                continue
+            if way == "sieve" and nth == 1:
+                for x in step.backward[1:]:
+                    rows = sieved(rows, f"m{x}", f"m{v}", relation(x, v), sizes[x, v].rows)
             edge = relation(b, v).select(F.col("src").alias("__s"), F.col("dst").alias("__d"), *([] if keep == "none" else [F.col("batch").alias("__b")]))
             if nth == 0:
                 on = F.col(f"m{b}") == F.col("__s")
@@ -62,6 +78,21 @@ def grow(rows: DataFrame, pattern: Pattern, steps, relation: Relation, bound: li
     return rows
 
 
+def _met(rows: DataFrame, pattern: Pattern, step: Step, relation: Relation, bound: list[int], keep: str, less: list[tuple[int, int]]) -> DataFrame:
+    """Bind a vertex by the join of its first two relations, which meets ``rows`` on both of its ends."""
+    v, (a, b) = step.vertex, step.backward[:2]
+    pairs = grow(seeds(pattern, relation, v, a, keep, less), pattern, [Step(b, (v,))], relation, [v, a], keep, less)
+    pairs = pairs.withColumnsRenamed({f"m{a}": "__a", f"m{b}": "__z", "batch": "__b"})
+    on = (F.col(f"m{a}") == F.col("__a")) & (F.col(f"m{b}") == F.col("__z"))
+    for x in pattern.must_differ(v, bound):
+        on = on & (F.col(f"m{x}") != F.col(f"m{v}"))
+    for x, y in less:
+        if v in (x, y) and (x in bound or y in bound):
+            on = on & (F.col(f"m{x}") < F.col(f"m{y}"))
+    rows = rows.join(pairs, on).drop("__a", "__z")
+    return rows.withColumn("batch", F.greatest("batch", "__b")).drop("__b") if keep == "latest" else rows
+
+
 def seeds(pattern: Pattern, relation: Relation, u: int, w: int, keep: str, less: list[tuple[int, int]] = ()) -> DataFrame:
     """Images of one pattern edge."""
     edge = relation(u, w)
@@ -77,12 +108,28 @@ def full(graph: Graph, pattern: Pattern, order: Plan | None = None, keep: str =
     """Every embedding: m0.., and batch, b0.. or nothing more as ``keep`` says."""
     order = order or plan(pattern)
     relation: Relation = lambda a, b: graph.relation(pattern.triple(a, b))
+    ways, many = {}, False
+    for step, (before, made, wedge) in zip(order.steps, order.widths()):
+        # Behind a large join too: where edges cluster, more is left than images taken as independent would leave.
+        many = many or made >= MANY
+        if many and len(step.backward) > 1:
+            ways[step.vertex] = "wedge" if made >= MANY and 2 * (before + wedge) < made else "sieve"
     rows = seeds(pattern, relation, *order.seed, keep, less)
-    rows = grow(rows, pattern, order.steps, relation, list(order.seed), keep, less)
+    rows = grow(rows, pattern, order.steps, relation, list(order.seed), keep, less, ways, order.sizes)
     more = {"latest": ["batch"], "each": [f"b{i}" for i in range(len(pattern.edges))], "none": []}[keep]
     return rows.select(*_columns(pattern), *more)
 
 
+def full_by_symmetry(graph: Graph, pattern: Pattern, order: Plan | None = None) -> DataFrame:
+    """``full``, from one embedding of each set of symmetric ones, which share their edges and so their batch."""
+    rows, maps = full(graph, pattern, order, "latest", breaking(pattern)), automorphisms(pattern)
+    if len(maps) == 1:
+        return rows
+    ids = _columns(pattern)
+    images = [F.struct(*[F.col(f"m{x}").alias(c) for c, x in zip(ids, m)]) for m in maps]
+    return rows.select(F.explode(F.array(*images)).alias("e"), "batch").select("e.*", "batch")
+
+
 def since_start(graph: Graph, pattern: Pattern, sizes=None, keep: str = "latest", less: list[tuple[int, int]] = ()) -> DataFrame:
     """Every embedding that some batch brought, with columns as ``full`` has them.
 
@@ -108,8 +155,6 @@ def count_by_batch(graph: Graph, pattern: Pattern, order: Plan | None = None, si
 
     One embedding of each set of symmetric ones is matched; they share their edges and so their batch.
     """
-    from ..plans.symmetry import automorphisms
-
     if not initial and order is None and sizes is not None and by_union(pattern, sizes):
         rows = since_start(graph, pattern, sizes, "latest", breaking(pattern))
     else:

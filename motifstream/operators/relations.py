@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
 from ..plans.planner import Size
+from ..session import shuffles_removed
 from ..sources.graph import Graph
 
 
@@ -48,7 +49,8 @@ def statistics(graph: Graph, pattern: Pattern) -> DataFrame:
 
 def sizes_for_planning(graph: Graph, pattern: Pattern) -> dict[tuple[int, int], Size]:
     """Sizes along directed edges, for ``plan``; two rows for each edge of the pattern come to the driver."""
-    rows = {r["qe"]: Size(r["cardinality"], r["sources"], r["new"]) for r in statistics(graph, pattern).collect()}
+    with shuffles_removed(graph.vertices.sparkSession):
+        rows = {r["qe"]: Size(r["cardinality"], r["sources"], r["new"]) for r in statistics(graph, pattern).collect()}
     return {d: rows[i] for i, d in enumerate(pattern.directed())}
 
 

@@ -208,3 +208,50 @@ def test_a_batch_reads_only_the_buckets_of_its_edges(spark, tmp_path):
     # Five scans: the batch's own edges once for each pattern edge, and the others' three folders, pruned to those buckets.
     plan_text = matcher.new_matches(1)._jdf.queryExecution().executedPlan().toString()
     assert plan_text.count("FileScan") == 5 and plan_text.count("PartitionFilters: [bucket") == 3
+
+
+# ---------------------------------------------------------------- joins that would make or move too many rows
+def random_graph(spark, labels, n, share, seed):
+    """A graph and its edges as pairs, in four batches."""
+    rng = random.Random(seed)
+    of = [rng.choice(labels) for _ in range(n)]
+    edges = [(a, b, 0, rng.randrange(4)) for a in range(n) for b in range(a) if rng.random() < share]
+    return Graph(spark.createDataFrame(list(enumerate(of)), "id long, label int"), spark.createDataFrame(edges, "src long, dst long, label int, batch int"))
+
+
+@pytest.mark.parametrize("name", ["cycle4", "clique4", "diamond"])
+@pytest.mark.parametrize("keep", ["latest", "each", "none"])
+def test_wedges_and_sieves_leave_the_rows_as_they_are(spark, monkeypatch, name, keep):
+    pattern = {"cycle4": Pattern.of([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (0, 3)]), "clique4": Pattern.of([0, 0, 1, 1], [(a, b) for b in range(4) for a in range(b)]), "diamond": Pattern.of([0, 0, 1, 0], [(0, 1), (0, 2), (1, 2), (0, 3), (2, 3)])}[name]
+    graph = random_graph(spark, [0, 1], 16, 0.6, 5)
+    order = plan(pattern, None, relations.sizes_for_planning(graph, pattern))
+    want = sorted(map(tuple, matching.full(graph, pattern, order, keep).collect()))
+    assert want
+    for way in ("wedge", "sieve"):
+        monkeypatch.setattr(matching, "MANY", 0)
+        monkeypatch.setattr(type(order), "widths", lambda self, way=way: [(0.0, 1.0, 0.0 if way == "wedge" else 1.0) for _ in self.steps])
+        assert sorted(map(tuple, matching.full(graph, pattern, order, keep).collect())) == want
+        if keep == "latest":
+            assert sorted(map(tuple, matching.full_by_symmetry(graph, pattern, order).collect())) == want
+
+
+def test_dense_4_cycles_are_joined_as_wedges_and_cliques_sieved(spark, monkeypatch):
+    cycle, clique = (Pattern.of([0, 1, 0, 1], [(0, 1), (1, 2), (2, 3), (0, 3)]), Pattern.of([0, 0, 1, 2], [(a, b) for b in range(4) for a in range(b)]))
+    taken = []
+    monkeypatch.setattr(matching, "grow", lambda rows, *a: taken.append(a[6] if len(a) > 6 else {}) or rows)
+    monkeypatch.setattr(matching, "_columns", lambda pattern: [])
+    graph = random_graph(spark, [0, 1, 2], 6, 0.5, 1)
+    trade = {(0, 1): Size(36e6, 9e6), (1, 0): Size(36e6, 1.2e6)}
+    matching.full(graph, cycle, plan(cycle, None, {(u, w): trade[u % 2, w % 2] for u, w in cycle.directed()}), "none")
+    matching.full(graph, clique, plan(clique, None, {d: Size(16e6, 4e5) for d in clique.directed()}), "none")
+    matching.full(graph, clique, plan(clique, None, {d: Size(1600, 40) for d in clique.directed()}), "none")
+    assert [sorted(x.values()) for x in taken] == [["wedge"], ["sieve", "sieve"], []]
+
+
+def test_sieve_drops_what_no_edge_closes(spark):
+    from motifstream.operators.sieve import sieved
+
+    edges = spark.range(3000).selectExpr("id AS src", "id * 7 AS dst")
+    rows = spark.range(6000).selectExpr("id AS a", "id * 7 AS b").unionByName(spark.range(6000).selectExpr("-id - 1 AS a", "id AS b"))
+    left = {tuple(r) for r in sieved(rows, "a", "b", edges, 3000).collect()}
+    assert {(i, 7 * i) for i in range(3000)} <= left and len(left) < 3100
