@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.pattern import Pattern
+from ..session import shuffles_removed
 
 Triple = tuple[int, int, int]
 
@@ -66,6 +67,31 @@ class Graph:
         return Graph(self.vertices, self.edges.where(F.col("batch") <= batch))
 
 
+@dataclass
+class EndsGraph(Graph):
+    """A graph whose edges are at hand with the labels of both ends, too.
+
+    ends: (src, dst, sl, el, dl, batch), each edge once.
+    """
+
+    ends: DataFrame
+
+    def relation(self, triple: Triple) -> DataFrame:
+        source, label, target = triple
+        of = lambda a, b: self.ends.where((F.col("sl") == a) & (F.col("el") == label) & (F.col("dl") == b)).select("src", "dst", "batch")
+        return of(source, target).unionByName(flipped(of(target, source)))
+
+    def stored(self, path: str) -> EndsGraph:
+        """The same graph, its edges with labels written to ``path`` in the shared folder."""
+        spark = self.vertices.sparkSession
+        with shuffles_removed(spark):
+            self.ends.write.option("compression", "zstd").parquet(path)
+        return EndsGraph(self.vertices, self.edges, spark.read.schema(self.ends.schema).parquet(path))
+
+    def upto(self, batch: int) -> EndsGraph:
+        return EndsGraph(self.vertices, self.edges.where(F.col("batch") <= batch), self.ends.where(F.col("batch") <= batch))
+
+
 @dataclass
 class TypedGraph(Graph):
     """A graph whose edge labels each join two known vertex labels and whose ends are all declared, as foreign keys are.

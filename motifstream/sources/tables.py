@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import batch_of_month
-from .graph import Graph, TypedGraph
+from .graph import EndsGraph, TypedGraph
 
 # Vertex labels of the trade graph; a vertex's id is SPACE * label + key.
 REGION, NATION, CUSTOMER, SUPPLIER, ORDER, PART = range(6)
@@ -51,14 +51,21 @@ def trade(spark: SparkSession, folder: str) -> TypedGraph:
     })
 
 
-def basket(spark: SparkSession, folder: str) -> Graph:
+def basket(spark: SparkSession, folder: str) -> EndsGraph:
     """Parts, labelled by size modulo 3, joined when one order holds both; as old as the first such order's later line."""
     vertices = table(spark, folder, "part").select(F.col("p_partkey").cast("long").alias("id"), (F.col("p_size") % 3).cast("int").alias("label"))
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    a = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("long").alias("src"), F.col("l_shipdate").alias("da"))
-    b = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").cast("long").alias("dst"), F.col("l_shipdate").alias("db"))
-    pairs = a.join(b, "o").where("src < dst").groupBy("src", "dst").agg(F.min(F.greatest("da", "db")).alias("day"))
-    return Graph(vertices, pairs.select("src", "dst", F.lit(0).alias("label"), batch_of_month(F.col("day"), FIRST_YEAR).alias("batch")))
+    lines = table(spark, folder, "lineitem").select("l_orderkey", F.col("l_partkey").cast("long").alias("id"), "l_shipdate")
+
+    def pairs(lines: DataFrame, *labels: str) -> DataFrame:
+        a = lines.select(F.col("l_orderkey").alias("o"), F.col("id").alias("src"), F.col("l_shipdate").alias("da"), *[F.col(x).alias("sl") for x in labels])
+        b = lines.select(F.col("l_orderkey").alias("o"), F.col("id").alias("dst"), F.col("l_shipdate").alias("db"), *[F.col(x).alias("dl") for x in labels])
+        met = a.join(b, "o").where("src < dst").groupBy("src", "dst", *[x for _ in labels for x in ("sl", "dl")])
+        return met.agg(F.min(F.greatest("da", "db")).alias("day")).withColumn("batch", batch_of_month(F.col("day"), FIRST_YEAR))
+
+    # Each line gets its part's label once: lines are far fewer than pairs.
+    labelled = lines.join(vertices, "id")
+    ends = pairs(labelled, "label").select("src", "dst", "sl", F.lit(0).alias("el"), "dl", "batch")
+    return EndsGraph(vertices, pairs(lines).select("src", "dst", F.lit(0).alias("label"), "batch"), ends)
 
 
 def visits(spark: SparkSession, folder: str) -> TypedGraph:
