@@ -41,6 +41,8 @@ class IncrementalMatcher:
         self.vertices, self.buckets, self.sizes = vertices, buckets, sizes
         #: Of each batch: seconds of indexing and of matching.
         self.seconds: dict[int, tuple[float, float]] = {}
+        #: Folders of the index that have been opened: their files are listed once.
+        self._opened: dict[str, DataFrame] = {}
 
     def start(self, initial: DataFrame) -> None:
         """Write the initial graph, batch 0."""
@@ -62,6 +64,7 @@ class IncrementalMatcher:
 
     def _store(self, halves: DataFrame, name: str) -> None:
         # Each bucket is one sorted file, so that readers skip what lies outside their ids.
+        self._opened.pop(name, None)
         halves.repartition("bucket").sortWithinPartitions("bucket", "src").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/edges/{name}")
 
     def _files(self):
@@ -80,13 +83,18 @@ class IncrementalMatcher:
     def halves(self, least: int = 0, most: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """The half edges of batches ``least`` to ``most``; of some buckets only, if named. Other folders are not opened."""
         some = [n for n, last in self._folders().items() if last >= least and (most is None or n.startswith("upto") or last <= most)]
-        reader = self.spark.read.schema(HALVES)
         if not some:
             return self.spark.createDataFrame([], HALVES)
-        rows = reduce(DataFrame.unionByName, [reader.parquet(f"{self.folder}/edges/{n}") for n in sorted(some)])
+        rows = reduce(DataFrame.unionByName, [self._open(n) for n in sorted(some)])
         rows = rows.where(F.col("batch") >= least) if most is None else rows.where(F.col("batch").between(least, most))
         return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
+    def _open(self, name: str) -> DataFrame:
+        """A folder of the index. It does not change once it is written, and listing its buckets is a job of its own."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.schema(HALVES).parquet(f"{self.folder}/edges/{name}")
+        return self._opened[name]
+
     @staticmethod
     def _distinct(rows: DataFrame, bucket: Column) -> list[int]:
         """Buckets in some rows; there are no more of them than the index has."""
@@ -130,6 +138,7 @@ class IncrementalMatcher:
         self._store(self.halves(0, upto), f"upto{upto}")
         files, _ = self._files()
         for n in old:  # from here on they are not read any more
+            self._opened.pop(n, None)
             files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/edges/{n}"), True)
 
     def run(self, stream: DataFrame, checkpoint: str, compact_every: int | None = None, **trigger) -> StreamingQuery:

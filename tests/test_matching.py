@@ -255,3 +255,18 @@ def test_sieve_drops_what_no_edge_closes(spark):
     rows = spark.range(6000).selectExpr("id AS a", "id * 7 AS b").unionByName(spark.range(6000).selectExpr("-id - 1 AS a", "id AS b"))
     left = {tuple(r) for r in sieved(rows, "a", "b", edges, 3000).collect()}
     assert {(i, 7 * i) for i in range(3000)} <= left and len(left) < 3100
+
+
+def test_live_matching_lists_each_folder_of_the_index_once(spark, tmp_path, monkeypatch):
+    pattern = Pattern.of([0, 0, 0], [(0, 1), (1, 2), (0, 2)])
+    vertices = spark.createDataFrame([(i, 0) for i in range(6)], "id long, label int")
+    edges = lambda *pairs: spark.createDataFrame([(*p, 0) for p in pairs], "src long, dst long, label int")
+    matcher, listed = IncrementalMatcher(spark, vertices, pattern, str(tmp_path), buckets=2), []
+    reader = type(spark.read)
+    monkeypatch.setattr(reader, "parquet", lambda self, *paths, f=reader.parquet, **k: listed.extend(p for p in paths if "/edges/" in p) or f(self, *paths, **k))
+    matcher.start(edges((0, 1), (1, 2)))
+    matcher.insert(edges((0, 2)), 1)
+    matcher.insert(edges((2, 3), (1, 3)), 2)
+    matcher.insert(edges((2, 3), (0, 3)), 2)  # the batch again, with other edges: what was opened of it is not used
+    assert sorted(len([p for p in listed if p.endswith(n)]) for n in ("batch0", "batch1", "batch2")) == [1, 1, 2]
+    assert [matcher.matches().where(f"batch = {k}").count() for k in (1, 2)] == [6, 6]
