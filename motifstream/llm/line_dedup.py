@@ -26,7 +26,7 @@ the counting column apart).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import forget, saved
@@ -177,6 +177,18 @@ def deleted_stretches(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out
 
 
+def _without(text: Column, dead: Column) -> Column:
+    """``text`` without the lines of the stretches ``dead``, which are in order and do not overlap; null stays null."""
+
+    def kept(lines: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), F.transform(dead, lambda x: x["last"] + 1))
+        ends = F.concat(F.transform(dead, lambda x: x["first"]), F.array(F.size(lines)))
+        return F.array_join(F.flatten(F.zip_with(starts, ends, lambda start, end: F.slice(lines, start + 1, end - start))), "\n")
+
+    # As the variable of a lambda, the lines are split once, not for each stretch.
+    return F.transform(F.array(F.split(text, "\n")), kept)[0]
+
+
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs deleted from ``text``. Rows without any pass through unshuffled."""
     return _cleaned(docs, key, text, min_words, None)
@@ -192,18 +204,13 @@ def _cleaned(docs: DataFrame, key: str, text: str, min_words: int, count: str |
     chosen = [F.col(f"`{c}`") for c in columns]
     extra = [F.lit(0).cast("long").alias(count)] if count else []
     same = rows.where("NOT __changed").select(*chosen, *extra)
-    touched = rows.where("__changed")
-    # Text of changed documents from their remaining lines.
-    each = touched.select("__key", "__hash", "__plain").groupBy("__key", "__hash").agg(F.first("__plain").alias("__plain"))
-    each = each.select("__key", "__hash", F.posexplode(F.split("__plain", "\n")).alias("line", "content"))
-    # As many rows as lines go: stretches do not overlap.
-    dead = gone.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), F.explode(F.sequence("first", "last")).alias("l"), F.lit(1).alias("dead"))
-    kept = each.join(dead, each["__key"].eqNullSafe(dead["k"]) & (each["__hash"] == dead["h"]) & (each["line"] == dead["l"]), "left")
-    left = F.array_sort(F.collect_list(F.when(F.col("dead").isNull(), F.struct("line", "content"))))
-    new = kept.groupBy("__key", "__hash").agg(F.array_join(F.transform(left, lambda x: x["content"]), "\n").alias("__new"), F.count("dead").alias("__gone"))
-    new = new.select(F.col("__key").alias("k"), F.col("__hash").alias("h"), "__new", "__gone")
-    met = touched.join(new, touched["__key"].eqNullSafe(new["k"]) & (touched["__hash"] == new["h"]), "left")
-    value = F.when(F.col(f"`{text}`").isNull() | (F.coalesce("__gone", F.lit(0)) == 0), F.col(f"`{text}`")).otherwise(F.col("__new"))
+    # Stretches come to the texts, a row for each document, so a changed text is shuffled once, whole, and never again.
+    stretches = gone.groupBy(F.col("__key").alias("__k"), F.col("__hash").alias("__h")).agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("__dead"), F.sum(F.col("last") - F.col("first") + 1).alias("__gone")
+    )
+    touched = rows.where("__changed").select(*chosen, "__key", "__hash")
+    met = touched.join(stretches, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__hash") == F.col("__h")), "left")
+    value = F.when(F.col("__dead").isNull(), F.col(f"`{text}`")).otherwise(_without(F.col(f"`{text}`"), F.col("__dead")))
     out = met.select(*[value.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *([F.coalesce("__gone", F.lit(0)).cast("long").alias(count)] if count else []))
     return same.unionByName(out)
 

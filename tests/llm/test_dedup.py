@@ -268,6 +268,45 @@ def test_blank_lines_do_not_multiply_rows(spark):
     assert got == {1: (text, 0), 2: ("", text.count("\n") + 1), 3: ("x", 0)}
 
 
+def shuffled_bytes(spark, after=-1):
+    """(bytes that stages numbered above ``after`` have written to shuffles, number of the last stage)."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    found = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteBytes() for x in found if x.stageId() > after), max(x.stageId() for x in found)
+
+
+def test_changed_texts_are_shuffled_once(spark):
+    """Also those of a long document with many stretches."""
+    rng = random.Random(20)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=n))
+    passage = " ".join(word(2) for _ in range(50))
+    own = [[word(60) for _ in range(40)] for _ in range(300)]
+    rows = [(0, passage)] + [(i + 1, "\n".join([*x[:20], passage, *x[20:]])) for i, x in enumerate(own)]
+    long = [f"line{i}" for i in range(3000)]
+    rows.append((900, "\n".join(y for x in long for y in (x, passage))))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = line_dedup.cleaned_with_counts(docs(spark, rows))
+        last = shuffled_bytes(spark)[1]
+        got = {r["doc_id"]: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {0: (passage, 0), 900: ("\n".join(long), 3000)} | {i + 1: ("\n".join(x), 1) for i, x in enumerate(own)}
+    assert {i: (r["text"], r["n_deleted"]) for i, r in got.items()} == want
+    assert 0 < shuffled_bytes(spark, last)[0] < 1.2 * sum(len(t) for _, t in rows)
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(["word"] * 50)
+    rows = [(i, text, i + 10, "x", i + 20, -i, i + 30, "y") for i in range(3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, k long, h string, first long, last long, line long, dead string")
+    got = line_dedup.line_dedup(table)
+    assert got.columns == table.columns and sorted(tuple(r) for r in got.collect()) == [rows[0], *((r[0], "", *r[2:]) for r in rows[1:])]
+
+
 def test_common_prefixes_by_brute_force(spark):
     rng = random.Random(19)
     rows = [(i, "\n".join(rng.choice("ab" if i % 2 else "abcde") for _ in range(rng.randrange(1, 16)))) for i in range(14)]
