@@ -53,6 +53,8 @@ ALL_KINDS = (*KINDS, SECRET)
 # The base patterns. Possessive repeats match the same spans in linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+#: Stands in every match of the above; begins with a fixed character, which is looked for faster.
+_IP_REST = re.compile(r"\.[0-9]++\.[0-9]++\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,9 +93,15 @@ _LETTER = _table(lambda c: c is None or c.isalpha())
 _DIGIT = _table(lambda c: c is not None and c.isdigit())
 #: What a plain word cannot hold.
 _ODD = _table(lambda c: c is not None and not c.isalpha() and c not in "-'")
-_LOWER = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
-_ALIKE = np.where(_DIGIT, np.uint8(ord("0")), _LOWER)
+#: Bits of a byte's class, and the classes of all bytes.
+WHITE, INNER, ODD, LETTER, DIGIT, ASCII_LETTER = (np.uint8(1 << n) for n in range(6))
+_CLASS = sum(np.where(t, b, np.uint8(0)) for t, b in ((_WHITE, WHITE), (_INNER, INNER), (_ODD, ODD), (_LETTER, LETTER), (_DIGIT, DIGIT), (_ASCII_LETTER, ASCII_LETTER))).tobytes()
+_LOWER = bytes(ord(chr(b).lower()) if b < 128 else b for b in range(256))
+_ALIKE = bytes(ord("0") if _DIGIT[b] else _LOWER[b] for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words up to so many bytes are hashed eight bytes at a time, all at once.
+LONG = 256
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def luhn(digits: str) -> bool:
@@ -125,11 +133,9 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then by start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    digits: list[tuple[int, int]] = [m.span() for m in _CARD.finditer(text)]
-    if not digits and not any(c.isdigit() for c in text):
-        return out
-    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
-    for a, b in digits:
+    if _IP_REST.search(text):
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    for a, b in [m.span() for m in _CARD.finditer(text)]:
         if b - a >= 16:
             number = text[a:b].replace(" ", "").replace("-", "")
             if 16 <= len(number) <= 19 and luhn(number):
@@ -155,14 +161,43 @@ class Words:
     splits: np.ndarray
 
 
-def _separators(part: np.ndarray) -> np.ndarray:
-    out = _WHITE[part]
+def _separators(part: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    out = (classes & WHITE) != 0
     colon = np.flatnonzero(part == ord(":"))
     colon = colon[(colon > 0) & (colon < len(part) - 1)]
-    out[colon[_ASCII_LETTER[part[colon - 1]] & (part[colon + 1] != ord("/"))]] = True
+    out[colon[((classes[colon - 1] & ASCII_LETTER) != 0) & (part[colon + 1] != ord("/"))]] = True
     return out
 
 
+def word_keys(raw: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, the same wherever it stands; words are in order and don't overlap."""
+    size = stop - start
+    eights = np.frombuffer(raw + bytes(16 - len(raw) % 8), "<u8")
+    key = size.astype(np.uint64)
+
+    def mix(key: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The key with the next eight bytes, of which ``left`` belong to the word."""
+        eight, shift = at >> 3, (at & 7).astype(np.uint64) << np.uint64(3)
+        key = key ^ ((eights[eight] >> shift | eights[eight + 1] << (np.uint64(63) - shift) << np.uint64(1)) & _MASKS[np.minimum(left, 8)])
+        key *= _MIX
+        key ^= key >> np.uint64(32)
+        key *= _MIX
+        key ^= key >> np.uint64(29)
+        return key
+
+    key = mix(key, start, size)
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    done = 8
+    while len(more):
+        key[more] = mix(key[more], start[more] + done, size[more] - done)
+        done += 8
+        more = more[size[more] > done]
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        key[long] = range_keys(np.frombuffer(raw, np.uint8), start[long], stop[long])
+    return key
+
+
 def _stretches(data: np.ndarray, offsets: np.ndarray, size: int):
     """Cuts of the chunk into stretches of about ``size`` bytes that no word crosses."""
     start, n = 0, len(data)
@@ -183,7 +218,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray, size: int | None = None) ->
     parts = []
     for low, high in _stretches(data, offsets, size or SEGMENT):
         part = data[low:high]
-        inside = ~_separators(part)
+        raw = part.tobytes()
+        classes = np.frombuffer(raw.translate(_CLASS) + b"\0", np.uint8)
+        inside = ~_separators(part, classes[:-1])
         edge = np.zeros(len(part) + 1, bool)  # where a text starts
         edge[(offsets[(offsets >= low) & (offsets <= high)] - low)] = True
         edge[0] = edge[-1] = True
@@ -192,17 +229,25 @@ def words_of(data: np.ndarray, offsets: np.ndarray, size: int | None = None) ->
         last = inside.copy()
         last[:-1] &= ~inside[1:] | edge[1:-1]
         start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-
-        def before(table: np.ndarray) -> np.ndarray:
-            return np.concatenate([np.zeros(1, np.int32), np.cumsum(table[part], dtype=np.int32)])
-
-        kept = before(_INNER)
-        place = np.flatnonzero(_INNER[part])
-        some = kept[stop] > kept[start]
-        start, stop = place[kept[start[some]]], place[kept[stop[some]] - 1] + 1
-        counts = [before(table) for table in (_ODD, _LETTER, _DIGIT)]
-        odd, letter, digit = (c[stop] > c[start] for c in counts)
-        parts.append((start + low, stop + low, range_keys(_ALIKE[part], start, stop), range_keys(_LOWER[part], start, stop), odd, letter, digit))
+        # Without punctuation at the ends: few words have any.
+        inner = (classes & INNER) != 0
+        inner[-1] = True  # where a search ends that finds none
+        place = np.flatnonzero(inner)
+        bare = np.flatnonzero(~inner[start])
+        start[bare] = place[np.searchsorted(place, start[bare])]
+        bare = np.flatnonzero(~inner[stop - 1])
+        before = np.searchsorted(place, stop[bare])
+        stop[bare] = np.where(before > 0, place[before - 1] + 1, 0)
+        some = start < stop
+        start, stop = start[some], stop[some]
+        met = np.bitwise_or.reduceat(classes, np.stack([start, stop], 1).ravel())[::2] if len(start) else classes[:0]
+        odd, letter, digit = ((met & c) != 0 for c in (ODD, LETTER, DIGIT))
+        # Without digits a word is the same word exactly.
+        word = word_keys(raw.translate(_ALIKE), start, stop)
+        exact, number = word.copy(), np.flatnonzero(digit)
+        if len(number):
+            exact[number] = word_keys(raw.translate(_LOWER), start[number], stop[number])
+        parts.append((start + low, stop + low, word, exact, odd, letter, digit))
     if not parts:
         none, no = np.empty(0, np.int64), np.empty(0, bool)
         return Words(none, none, none.astype(np.uint64), none.astype(np.uint64), no, no, no, np.zeros(len(offsets), np.int64))
@@ -228,14 +273,16 @@ class Places:
 
 def places_of(words: Words) -> Places:
     n = len(words.word)
-    text = np.repeat(np.arange(len(words.splits) - 1), np.diff(words.splits))
 
     def neighbour(values: np.ndarray, by: int, missing) -> np.ndarray:
         """The value ``by`` words on, in the same text."""
         out = np.full(n, missing, values.dtype)
-        here, there = (slice(0, n - by), slice(by, n)) if by > 0 else (slice(-by, n), slice(0, n + by))
         if n > abs(by):
-            out[here] = np.where(text[here] == text[there], values[there], missing)
+            here, there = (slice(0, n - by), slice(by, n)) if by > 0 else (slice(-by, n), slice(0, n + by))
+            out[here] = values[there]
+            for k in range(abs(by)):  # the last words of each text, or the first ones
+                ends = words.splits[1:] - 1 - k if by > 0 else words.splits[:-1] + k
+                out[ends[(ends >= 0) & (ends < n)]] = missing
         return out
 
     def mixed(kind: int, *parts: np.ndarray) -> np.ndarray:

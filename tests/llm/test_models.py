@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from functools import lru_cache
 
@@ -285,6 +286,55 @@ def test_words_do_not_depend_on_stretches():
         assert all((getattr(whole, f) == getattr(part, f)).all() for f in ("start", "stop", "word", "exact", "odd", "letter", "digit", "splits"))
 
 
+def test_words_by_hand():
+    """Starts, stops, classes of bytes and equal hashes, against a loop over the bytes of each text."""
+    rng, edges, odd_of, hashes = random.Random(21), b"\"'`()[]{}<>,;:.!?#$%&*|=", set(range(128)) - set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-'"), {}
+    parts = [*"ab1A7 \t=:/,.()'-|é中", "x" * 9, "long" * 70, "n1" * 140, "3" * 8, "Ab" * 4, "http://", "((", "a:b"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 20))) for _ in range(rng.randrange(1, 6))]
+        ((_, _, data, offsets),) = text_chunks(pa.array([*texts, "end "]))
+        words, raw = pii.words_of(data, offsets), data.tobytes()
+        want = []
+        for a, b in zip(offsets.tolist(), offsets.tolist()[1:]):
+            cut = [i for i in range(a, b) if raw[i] in b" \t\n\v\f\r=" or (raw[i] == ord(":") and a < i < b - 1 and raw[i - 1 : i].isalpha() and raw[i - 1] < 128 and raw[i + 1] != ord("/"))]
+            for low, high in zip([a - 1, *cut], [*cut, b]):
+                core = raw[low + 1 : high].strip(edges)
+                if core:
+                    start = low + 1 + len(raw[low + 1 : high]) - len(raw[low + 1 : high].lstrip(edges))
+                    want.append((start, start + len(core)))
+        assert list(zip(words.start.tolist(), words.stop.tolist())) == want, texts
+        for i, (a, b) in enumerate(want):
+            core = raw[a:b]
+            assert (words.odd[i], words.letter[i], words.digit[i]) == (any(c in odd_of for c in core), any(c > 127 or chr(c).isalpha() for c in core), any(48 <= c <= 57 for c in core))
+            low = bytes(c + 32 if 65 <= c <= 90 else c for c in core)
+            for column, key in ((words.exact, low), (words.word, bytes(48 if 48 <= c <= 57 else c for c in low))):
+                assert hashes.setdefault(key, int(column[i])) == int(column[i])
+    assert len(set(hashes.values())) == len(hashes) > 1000
+
+
+def test_words_cost_less_than_running_sums_over_all_bytes():
+    """All texts are read up to five times: words may not cost a running sum over the bytes for each property and hash."""
+    rng = random.Random(22)
+    text = " ".join(rng.choice(["some", "words,", "of", "(a", "text:", "number", "12-34", "jane@host.example", "and", "further"]) for _ in range(400_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets, table = np.array([0, len(data)]), np.arange(256) % 3 == 0
+
+    def sums():
+        for low in range(0, len(data), 1 << 20):
+            for _ in range(4):
+                np.cumsum(table[data[low : low + (1 << 20)]], dtype=np.int32)
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            t = time.thread_time()
+            f()
+            took.append(time.thread_time() - t)
+        return min(took)
+
+    assert least(lambda: pii.words_of(data, offsets)) < 2.75 * least(sums)
+
+
 def scored_by_hand(edges, places, rounds):
     """edges: (pattern, anchor, entity, kind or None, fits, n)."""
     kinds, weight = pii.ALL_KINDS, {(p, x, k): 1.0 for p, _, x, k, _, _ in edges if k}
