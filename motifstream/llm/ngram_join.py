@@ -269,7 +269,7 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     met = sets.select("__class", F.explode("__bands").alias("__bucket"))
     leaders = met.groupBy("__bucket").agg(F.count("*").alias("n"), F.min("__class").alias("__leader"), F.first("__bucket").alias("__same")).where("n > 1")
     star = met.join(leaders.select("__same", "__leader"), F.col("__bucket") == F.col("__same")).where("__class <> __leader").select("__class", "__leader").distinct()
-    near = components(saved(star), "__class", "__leader")
+    near = components(star, "__class", "__leader")
     near = near.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
     candidates = saved(sets.join(near, sets["__class"] == near["__node"]).drop("__node"))
     load = candidates.groupBy("__component").agg(F.count("*").alias("k"), F.sum("__size").alias("m"))
@@ -284,7 +284,8 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         F.when(F.col("__tile.i") == F.col("__tile.j"), 2).when(F.col("__chunk") == F.col("__tile.i"), 0).otherwise(1).alias("__side"), "__n", "__bands", "__members")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(spread, "__component", "__i", "__j").sortWithinPartitions("__component", "__i", "__j")
-    links = saved(verified(tiles, similarity))
+    # The rows of a tile are few: they are gathered before they are written, else every tile task writes a file.
+    links = saved(verified(tiles, similarity).hint("rebalance"))
     count = links.groupBy("__class").agg(F.sum("rows").alias("rows"), F.sum("classes").alias("classes"))
     true = components(links, "__class", "other")
     info = sets.select("__class", "__n", "__least").join(count.select(F.col("__class").alias("__counted"), "rows", "classes"), F.col("__class") == F.col("__counted"), "left")

@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from motifstream.llm import components as components_module
 from motifstream.llm import exact_dedup, line_dedup, ngram_join, queries
 from motifstream.llm._arrow import text_chunks
-from motifstream.llm.components import components
+from motifstream.llm.components import components, forest
 
 
 
@@ -77,6 +79,65 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def tables_written(spark, run):
+    """(files of each table that ``run`` saves in the shared folder, its result)."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "tables"
+    before = set(folder.glob("*"))
+    out = run()
+    return [len(list(x.glob("*.parquet"))) for x in folder.glob("*") if x not in before], out
+
+
+def test_components_over_many_partitions(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 500) if i % 170] + [(900, k) for k in range(901, 1100)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(330)]
+    rng.shuffle(links)
+    links = [x if rng.random() < 0.5 else x[::-1] for x in links]
+    u, v = np.array([x for x in links if x[0] != x[1]]).T
+    want = dict(zip(*(x.tolist() for x in forest(u, v))))
+    assert set(want) | set(want.values()) == {*u.tolist(), *v.tolist()}
+    assert all(want.get(a, a) == want.get(b, b) for a, b in links) and not set(want) & set(want.values())
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for root in set(want.values()):  # each part hangs together and its name is its smallest node
+        part, new = {root}, [root]
+        while new:
+            new = [y for x in new for y in near[x] if y not in part and not part.add(y)]
+        assert part == {x for x in want if want[x] == root} | {root} and min(part) == root
+    got = components(spark.createDataFrame(links, "a long, b long").repartition(16), "a", "b").collect()
+    assert {r["node"]: r["component"] for r in got} == want | {x: x for x in want.values()} and len(got) == len(near)
+
+
+def test_blocks_of_links(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "BLOCK_LINKS", 1)
+    monkeypatch.setattr(components_module, "small_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        got = components(spark.createDataFrame([(i + 1, i) for i in range(100)], "a long, b long").coalesce(1), "a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(r["node"] for r in got) == list(range(101)) and {r["component"] for r in got} == {0}
+
+
+def test_a_graph_of_one_partition_takes_one_round(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").coalesce(1)
+    files, found = tables_written(spark, lambda: components(chain, "a", "b"))
+    assert len(files) == 3 and found.where("component <> 0").count() == 0 and found.count() == 301
+
+
+def test_near_join_saves_few_files(spark):
+    # On a local file system Hadoop starts a command for each file; before exec it counts as a second executor.
+    rows = docs(spark, near_corpus()).coalesce(1)
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        files, _ = tables_written(spark, lambda: ngram_join.join(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert len(files) <= 12 and sum(files) <= 16
+
+
 def near_corpus():
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
